@@ -2,6 +2,8 @@
 
 from .decontaminate import op2_decontaminate
 from .packing import op4_packing
+from .pii import op5_pii
+from .secrets import op10_secrets
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_packing)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_packing, op5_pii, op10_secrets)}
 ORACLES: dict[str, str] = {}

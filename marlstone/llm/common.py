@@ -58,3 +58,8 @@ def words(text: str | None) -> list[bytes]:
 def worker_state() -> types.ModuleType:
     """A module that lives as long as the Python worker, for caches that later tasks reuse."""
     return sys.modules.setdefault("_marlstone_worker", types.ModuleType("_marlstone_worker"))
+
+
+def of_kind(kind: str):
+    """A condition for spans, by kind."""
+    return lambda x: x["kind"] == kind

@@ -4,6 +4,7 @@ from .decontaminate import op2_decontaminate
 from .packing import op4_packing
 from .pii import op5_pii
 from .secrets import op10_secrets
+from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_packing, op5_pii, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_packing, op5_pii, op9_toxicity, op10_secrets)}
 ORACLES: dict[str, str] = {}

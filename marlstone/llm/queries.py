@@ -5,7 +5,8 @@ from .neardup import op1_neardup
 from .packing import op4_packing
 from .pii import op5_pii
 from .secrets import op10_secrets
+from .substrings import op7_substrings
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_decontaminate, op4_packing, op5_pii, op9_toxicity, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_decontaminate, op4_packing, op5_pii, op7_substrings, op9_toxicity, op10_secrets)}
 ORACLES: dict[str, str] = {}

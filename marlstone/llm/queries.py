@@ -1,6 +1,7 @@
 """The registered queries of this package; none of them has a SQL form that DuckDB could run over whole tables."""
 
 from .decontaminate import op2_decontaminate
+from .extract import op8_extract
 from .neardup import op1_neardup
 from .packing import op4_packing
 from .pii import op5_pii
@@ -8,5 +9,5 @@ from .secrets import op10_secrets
 from .substrings import op7_substrings
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_decontaminate, op4_packing, op5_pii, op7_substrings, op9_toxicity, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_decontaminate, op4_packing, op5_pii, op7_substrings, op8_extract, op9_toxicity, op10_secrets)}
 ORACLES: dict[str, str] = {}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .geometry import CORNERS, iou_pairs
 
-#: The grid of overlap thresholds, 0.50 to 0.95.
-GRID = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.lit(0.5) + i * F.lit(0.05))
+def grid():
+    """The overlap thresholds, 0.50 to 0.95 in steps of 0.05."""
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.lit(0.5) + i * F.lit(0.05))
 
 
 def best_class(scores: Column) -> tuple[Column, Column]:
@@ -39,7 +40,7 @@ def suppressed(det: DataFrame, *, iou: float = 0.45, score: float | None = None)
 
 
 def matched(gt: DataFrame, det: DataFrame) -> DataFrame:
-    """det_id, img, cls, score, thr and tp: one-to-one greedy matches at each threshold of GRID.
+    """det_id, img, cls, score, thr and tp: one-to-one greedy matches at each threshold of grid().
 
     Detections in score order, ties by det_id, each take the free box of their image and
     class with the largest overlap of at least thr, ties to the larger gt_id.
@@ -47,14 +48,14 @@ def matched(gt: DataFrame, det: DataFrame) -> DataFrame:
     pairs = iou_pairs(gt, det, 0.5)
     found = pairs.groupBy("img", "cls", "det_id").agg(F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct("iou", "gt_id")), asc=False).alias("options"))
     lists = found.groupBy("img", "cls").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_id", "options"))).alias("dets"))
-    taken = lists.withColumn("thr", F.explode(GRID)).selectExpr(
+    taken = lists.withColumn("thr", F.explode(grid())).selectExpr(
         "thr",
         """aggregate(dets, named_struct('used', cast(array() AS array<bigint>), 'hit', cast(array() AS array<bigint>)), (a, d) ->
             aggregate(filter(d.options, x -> x.iou >= thr AND NOT array_contains(a.used, x.gt_id)), cast(NULL AS bigint), (b, x) -> coalesce(b, x.gt_id),
               g -> if(g IS NULL, a, named_struct('used', concat(a.used, array(g)), 'hit', concat(a.hit, array(d.det_id)))))).hit AS hit""",
     )
     hits = taken.select("thr", F.explode("hit").alias("det_id"), F.lit(1).alias("tp"))
-    every = det.select("det_id", "img", "cls", "score").withColumn("thr", F.explode(GRID))
+    every = det.select("det_id", "img", "cls", "score").withColumn("thr", F.explode(grid()))
     return every.join(hits, ["det_id", "thr"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
 
 

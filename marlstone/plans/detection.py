@@ -74,7 +74,7 @@ def q_map(spark: SparkSession, d: str) -> DataFrame:
     curve = detection.pr_curve(detection.matched(gt, det), counts, ["cls", "thr"])
     ap = detection.average_precision(curve, ["cls", "thr"])
     classes = spark.range(2).select(F.col("id").cast("int").alias("cls")).join(F.broadcast(counts), "cls", "left").withColumn("n_gt", F.coalesce("n_gt", F.lit(0)).cast("long"))
-    grid = classes.withColumn("thr", F.explode(detection.GRID)).join(ap, ["cls", "thr"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    grid = classes.withColumn("thr", F.explode(detection.grid())).join(ap, ["cls", "thr"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
     by = grid.groupBy("cls").agg(F.max("n_gt").alias("n_gt"), F.max(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("a"), F.avg("ap").alias("m"))
     rows = by.select(F.col("cls").cast("string").alias("cls"), "n_gt", "a", "m").unionByName(by.agg(F.lit("all").alias("cls"), F.sum("n_gt").alias("n_gt"), F.avg("a").alias("a"), F.avg("m").alias("m")))
     return rows.select("cls", "n_gt", F.round("a", 6).alias("ap50"), F.round("m", 6).alias("ap50_95"))

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -161,7 +162,7 @@ def _best(kept: int):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float(np.dot(_unit(np.asarray(x)), _unit(np.asarray(y)))) for x, y in zip(a, b, strict=True)])
 

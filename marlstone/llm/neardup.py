@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prepared = common.stored(docs.mapInArrow(_prepare, "doc_id long, key binary, n_shingles long, sketch array<long>"))
     worded = prepared.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = common.stored(worded.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = common.stored(worded.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
     buckets = nodes.select("node", "n", F.explode("sketch").alias("h"))
     centres = buckets.groupBy("h").agg(F.min("node").alias("c"), F.max("node").alias("d")).filter("c <> d")
     groups = components(buckets.join(centres, "h").filter("node <> c").select(F.col("node").alias("u"), F.col("c").alias("v")))
@@ -209,8 +209,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sized = groups.join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node")
     parts = sized.groupBy("label").agg(F.ceil(F.sum("n") / TASK_SHINGLES).alias("parts"))
     dealt = common.stored(sized.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).select("label", "part", "parts", "node"))
-    # One text for each node, the least of the rows that share its doc_id.
-    texts = docs.join(dealt.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # One text for each node, the least of the rows that share its doc_id.  The join moves the
+    # texts at every size, so that its cost is in proportion to the input.
+    texts = docs.join(dealt.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     texts = common.stored(texts.groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
     links = dealt.join(texts, "node").groupBy("label", "part").applyInPandas(lambda rows: _verify(rows.drop(columns="label")), "u long, v long")
     links = common.stored(links)
@@ -219,11 +220,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(_across(buckets, dealt, labels, texts))
         labels = components(links.filter("u <> v"))
 
-    classes = nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id"))
+    classes = nodes.select("key", "node", "copies").join(labels, "node", "left").select("key", "copies", F.coalesce("label", "node").alias("class_id"))
+    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
+    classes = classes.join(sizes, "class_id").select("key", "class_id", "class_size")
     own = prepared.withColumn("key", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("key")))
-    joined = own.join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_shingles")
-    sizes = joined.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return joined.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_shingles")
+    return own.join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_shingles")
 
 
 def _across(buckets: DataFrame, dealt: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ chosen by a hash of doc_id; every document is scored over its whole text.
 
 from __future__ import annotations
 
+import hashlib
 import random
 from dataclasses import dataclass
 
@@ -42,15 +43,15 @@ NEAREST = 6
 LEVEL = 12
 SEED = 7
 #: Words whose distances a worker remembers; the memory is cleared beyond that.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 #: What stands before and after a word; matches cannot begin in the last eight bytes of an input.
 _BEFORE, _AFTER = b" 0123456789 abcdefghijklmnop ", b" zyxwvutsrqponmlk 9876543210 "
 _STEPS = (1, 2, 3, 4, 5, 6, 7)
 
 
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None) -> set[bytes]:
     """The distinct words of a text between white space, ASCII letters lower-cased."""
-    return sorted({*common.encoded(text).lower().split()})
+    return {*common.encoded(text).lower().split()}
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -73,21 +74,21 @@ def _content(words: list[bytes], size: int, rng: random.Random) -> bytes:
 
 
 class Distances(dict):
-    """Word to length by the ordinary dictionary less length by the toxic one."""
+    """Word to its distance by each pair of dictionaries: length by the ordinary one less length by the toxic one."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = _compressor(toxic).compress, _compressor(ordinary).compress
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs = [(_compressor(ordinary).compress, _compressor(toxic).compress) for toxic, ordinary in pairs]
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > KNOWN_WORDS:
             self.clear()
         data = _BEFORE + word + _AFTER
-        self[word] = found = len(self.ordinary(data)) - len(self.toxic(data))
+        self[word] = found = tuple(len(ordinary(data)) - len(toxic(data)) for ordinary, toxic in self.pairs)
         return found
 
 
-def features(distances: list[int]) -> list[float]:
-    d = np.array(distances or [0])
+def features(distances: np.ndarray) -> list[float]:
+    d = distances if len(distances) else np.zeros(1)
     over = [int((d >= s).sum()) for s in _STEPS]
     return [*np.log1p(over), *(10 * np.array(over) / len(d)), float(np.log(len(d))), float(d.mean()), float(d.max())]
 
@@ -113,14 +114,20 @@ class Model:
     shift: float
     share: float
 
-    def distances(self) -> list[Distances]:
-        return [Distances(*x) for x in self.pairs]
-
-    def score(self, found: list[Distances], text: str | None) -> float:
-        if not found:
+    def distances(self) -> Distances:
+        """Of this model, as far as the Python worker knows them already."""
+        held = common.worker_state().__dict__.setdefault("distances", {})
+        name = hashlib.sha256(b"".join(x for pair in self.pairs for x in pair)).digest()
+        if name not in held:
+            held.clear()
+            held[name] = Distances(self.pairs)
+        return held[name]
+
+    def score(self, known: Distances, text: str | None) -> float:
+        if not self.pairs:
             return self.share
-        words = windows(text)
-        z = [float(np.r_[(np.array(features([d[w] for w in words])) - self.mean) / self.spread, 1] @ self.weights) for d in found]
+        found = np.array([known[w] for w in windows(text)], dtype=np.int64).reshape(-1, len(self.pairs))
+        z = [float(np.r_[(np.array(features(found[:, k])) - self.mean) / self.spread, 1] @ self.weights) for k in range(len(self.pairs))]
         return float(1 / (1 + np.exp(-np.clip(np.mean(z) + self.shift, -30, 30))))
 
 
@@ -137,12 +144,12 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
         pairs = [tuple(shared + _content([w for g in range(FOLDS) if g != f for w in x[g]], size, rng) for x in chosen) for f in range(FOLDS)]
         rows, classes, nearest = [], [], [[], []]
         for f, pair in enumerate(pairs):
-            known = Distances(*pair)
+            known = Distances([pair])
             for k, own in enumerate(sets):
                 picked = []
                 for words in own[f::FOLDS]:
-                    d = [known[w] for w in words]
-                    rows.append(features(d))
+                    d = [known[w][0] for w in words]
+                    rows.append(features(np.array(d)))
                     classes.append(1 - k)
                     picked += [w for v, w in sorted(zip(d, words, strict=True), reverse=True)[:NEAREST] if v > 0]
                 nearest[k].append(picked)
@@ -177,9 +184,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score")
 
     def run(batches):
-        found = model.distances()
+        known = model.distances()
         for batch in batches:
-            out = [model.score(found, t) for t in batch.column("text").to_pylist()]
+            out = [model.score(known, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)

@@ -21,7 +21,6 @@ import hashlib
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +31,10 @@ LENGTH = 400
 GRAM = 64
 #: Different surroundings of one anchor that a task sorts at most.
 HOT = 20_000
+#: Tasks that the places of one anchor are dealt to.
+SALTS = 8
+#: Surroundings up to which each is held against each in a bucket.
+FEW = 48
 _ANCHORS = "array<struct<h:long,pos:long,lo:long,hi:long>>"
 
 
@@ -141,25 +144,85 @@ def _surroundings(length: int, gram: int):
     return run
 
 
+def _same_after(a: bytes, b: bytes) -> int:
+    """Bytes that a and b have in common from their starts."""
+    n = min(len(a), len(b))
+    return n - -((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() // -8) if n else 0
+
+
+def _same_before(a: bytes, b: bytes) -> int:
+    """Bytes that a and b have in common up to their ends."""
+    n = min(len(a), len(b))
+    return n - -((int.from_bytes(a[len(a) - n :], "little") ^ int.from_bytes(b[len(b) - n :], "little")).bit_length() // -8) if n else 0
+
+
+def _runs(marks: dict[int, bool]) -> list[tuple[int, int, bool]]:
+    """Runs of neighbouring offsets with equal marks."""
+    out: list[list] = []
+    for offset, first in sorted(marks.items()):
+        if out and out[-1][1] == offset - 1 and out[-1][2] == first:
+            out[-1][1] = offset
+        else:
+            out.append([offset, offset, first])
+    return [tuple(x) for x in out]
+
+
+def bucket_matches(held: list[tuple[bytes, bytes, int, int, int, bytes]], length: int) -> list[tuple[bytes, int, int, bool]]:
+    """(id, from, to, first) of one anchor's surroundings (id, bytes, lo, hi, copies, place).
+
+    Offsets from..to are those at which the string occurs again; first says that no
+    occurrence has a smaller place.  In few surroundings each earlier one is held
+    against each later one by how far they agree on both sides of the anchor;
+    in more, the suffixes of each offset are sorted.
+    """
+    held = sorted(held, key=lambda x: (x[5], x[0]))
+    marks: list[dict[int, bool]] = [dict.fromkeys(range(lo, hi + 1), True) if copies > 1 else {} for _, _, lo, hi, copies, _ in held]
+    if len(held) <= FEW:
+        for j, (_, b, lo_b, hi_b, _, _) in enumerate(held):
+            for i in range(j):
+                _, a, lo_a, hi_a, _, _ = held[i]
+                first = max(lo_a, lo_b)
+                last = min(hi_a, hi_b, _same_after(a[-lo_a:], b[-lo_b:]) - length)
+                if last < first:
+                    continue
+                first = max(first, -_same_before(a[:-lo_a], b[:-lo_b]))
+                for offset in range(first, last + 1):
+                    marks[i].setdefault(offset, True)
+                    marks[j][offset] = False
+    else:
+        for offset in range(min(x[2] for x in held), max(x[3] for x in held) + 1):
+            bucket = sorted((around[offset - lo : offset - lo + length], k) for k, (_, around, lo, hi, _, _) in enumerate(held) if lo <= offset <= hi)
+            for _, group in groupby(bucket, key=lambda x: x[0]):
+                same = [k for _, k in group]
+                if len(same) > 1:
+                    marks[same[0]].setdefault(offset, True)
+                    for k in same[1:]:
+                        marks[k][offset] = False
+    return [(x[0], *run) for x, own in zip(held, marks, strict=True) if own for run in _runs(own)]
+
+
 def _match(length: int):
-    """Offsets at which surroundings of one anchor match: (id, from, to, first), runs of offsets that are alike."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found: dict[bytes, list[tuple[int, bool]]] = {}
-        held = list(zip(rows["id"], rows["bytes"], rows["lo"], rows["hi"], rows["copies"], rows["place"], strict=True))
-        for offset in range(int(rows["lo"].min()), int(rows["hi"].max()) + 1):
-            bucket = sorted((around[offset - lo : offset - lo + length], place, name, copies) for name, around, lo, hi, copies, place in held if lo <= offset <= hi)
-            for _, run_ in groupby(bucket, key=lambda x: x[0]):
-                same = list(run_)
-                if len(same) > 1 or same[0][3] > 1:
-                    for k, (_, _, name, _) in enumerate(same):
-                        found.setdefault(name, []).append((offset, k == 0))
-        out = []
-        for name, offsets in found.items():
-            for (_, first), group in groupby(enumerate(offsets), key=lambda x: (x[1][0] - x[0], x[1][1])):
-                own = [o for _, (o, _) in group]
-                out.append((name, own[0], own[-1], first))
-        return pd.DataFrame(out, columns=["id", "from", "to", "first"])
+    """bucket_matches of each anchor, of rows that come with an anchor's surroundings together."""
+
+    def run(batches):
+        names = ("id", "bytes", "lo", "hi", "copies", "place")
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+        open_, held = None, []
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["id", "from", "to", "first"])
+
+        for batch in batches:
+            out = []
+            for h, *row in zip(batch.column("h").to_pylist(), *(batch.column(c).to_pylist() for c in names), strict=True):
+                if h != open_ and held:
+                    out += bucket_matches(held, length)
+                    held = []
+                open_ = h
+                held.append(tuple(row))
+            yield table(out)
+        if held:
+            yield table(bucket_matches(held, length))
 
     return run
 
@@ -221,14 +284,17 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH, gram: int = GR
     texts_of = common.stored(scanned.select("key", who, "anchors").groupBy("key").agg(F.count("*").alias("copies"), F.min("who").alias("who"), F.first("anchors").alias("anchors")))
     places = texts_of.select("key", "who", F.explode("anchors").alias("a")).select("key", "who", "a.*")
     twice = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    repeated = places.join(twice, "h").groupBy("key", "who").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("anchors"))
+    # A common line's anchor may be in a large share of all rows, so each anchor is dealt to SALTS tasks.
+    salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    repeated = places.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).groupBy("key", "who").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("anchors"))
     held = common.stored(docs.select(key, who, "text").join(repeated, ["key", "who"]).dropDuplicates(["key", "who"]).select("key", "text", "anchors"))
     around = held.mapInArrow(_surroundings(length, gram), "key binary, pos long, h long, lo long, hi long, bytes binary, id binary")
     place = F.concat("key", F.unhex(F.lpad(F.hex("pos"), 16, "0")))
     alike = common.stored(around.groupBy("h", "id").agg(F.first("bytes").alias("bytes"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count("*").alias("copies"), F.min(place).alias("place")))
     sizes = alike.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).filter("all > 1")
     sized = alike.join(sizes, "h")
-    matched = sized.filter(F.col("n") <= hot).groupBy("h").applyInPandas(_match(length), "id binary, from long, to long, first boolean")
+    buckets = sized.filter(F.col("n") <= hot).repartition("h").sortWithinPartitions("h")
+    matched = buckets.mapInArrow(_match(length), "id binary, from long, to long, first boolean")
     strings = sized.filter(F.col("n") > hot).mapInArrow(_strings(length), "id binary, offset long, digest binary, copies long, place binary")
     counts = strings.groupBy("digest").agg(F.sum("copies").alias("all"), F.min("place").alias("least")).filter("all > 1")
     more = strings.join(counts, "digest").select("id", F.col("offset").alias("from"), F.col("offset").alias("to"), (F.col("place") == F.col("least")).alias("first"))

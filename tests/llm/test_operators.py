@@ -384,3 +384,15 @@ def test_queries_are_registered():
 
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
     assert json.dumps(queries.ORACLES) == "{}"
+
+
+def test_few_and_many_surroundings_match_alike(monkeypatch):
+    r = random.Random(16)
+    held = []
+    for k in range(30):
+        lo, hi = -r.randint(0, 14), r.randint(-3, 0)
+        text = "".join(r.choice("ab") if r.random() < 0.15 else "a" for _ in range(60)).encode()
+        held.append((bytes([k]), text[20 + lo : 20 + hi + 16] if hi >= lo else text[20 + lo : 20 + lo + 16], lo, max(lo, hi), r.choice([1, 1, 2]), bytes([k])))
+    few = substrings.bucket_matches(held, 16)
+    monkeypatch.setattr(substrings, "FEW", 0)
+    assert sorted(substrings.bucket_matches(held, 16)) == sorted(few) and few

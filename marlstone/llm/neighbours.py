@@ -8,14 +8,20 @@ into blocks of equal numbers of vectors.  A query is compared with its own block
 the blocks beside it that cover WINDOW of all rows on either side; the best of all its windows
 meet and are ranked again by the exact cosine.
 
+Vectors of one direction are searched as one and stand for all their rows afterwards, the
+smallest vec_id first, however many they are.
+
 Blocks hold vectors as bytes, a component each, and at most BLOCK of them; more
-rows make more blocks.  On data without structure the share of rows that windows must cover
+rows make more blocks.  A vector's error is how far its bytes are from it, so two errors bound
+what a cosine of bytes is off; whatever may be among the k best within that bound is ranked exactly.  On data without structure the share of rows that windows must cover
 for a given recall depends on the dimension, not on the number of rows, which
 is why WINDOW is a share; it is a parameter for data that has some.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,8 +39,8 @@ BITS = 7
 WINDOW = 0.008
 LEAST_WINDOW = 64
 BLOCK = 4096
-#: Candidates that a window and all windows together keep for the exact ranking, per wanted neighbour.
-KEPT = 5
+#: What a cosine in single precision may be off.
+SLACK = 1e-5
 SEED = 11
 
 
@@ -88,21 +94,24 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _prepare(divisor: int):
-    """Usable rows with a byte per component and whether the row is a query."""
+    """Usable rows with a byte per component, the error of those, a digest of the direction and whether the row is a query."""
 
     def run(batches):
-        kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.binary(), pa.bool_())
+        kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.binary(), pa.float64(), pa.binary(), pa.bool_())
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for vec, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 v = _usable(vector)
                 if vec is None or v is None:
                     continue
                 u = _unit(v)
-                code = np.rint(u * (127 / np.abs(u).max())).astype(np.int8).tobytes()
-                for column, x in zip(rows, (vec, v, len(v), code, vec % divisor == 0), strict=True):
+                code = np.rint(u * (127 / np.abs(u).max())).astype(np.int8)
+                rounded = code.astype(np.float64)
+                off = float(np.linalg.norm(rounded / np.linalg.norm(rounded) - u))
+                same = hashlib.blake2b((u + 0.0).tobytes(), digest_size=16).digest()  # -0.0 becomes 0.0
+                for column, x in zip(rows, (vec, v, len(v), code.tobytes(), off, same, vec % divisor == 0), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["vec_id", "vector", "dim", "code", "query"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["vec_id", "vector", "dim", "code", "off", "same", "query"])
 
     return run
 
@@ -123,7 +132,7 @@ def _keys(curves: int, dimensions: int, bits: int):
                     spread = 3 / np.sqrt(dim)  # three standard deviations of a component in no special direction
                     y = np.clip((u @ axes[t] / spread + 1) / 2 * (1 - 1 / 8) + shifts[t] / 8, 0, 1 - 1e-9)
                     key = hilbert_keys((y * (1 << bits)).astype(np.int64), bits)
-                    yield pa.RecordBatch.from_arrays([pa.array([dim] * len(at), pa.int32()), pa.array([t] * len(at), pa.int32()), pa.array(key), own.column("uid"), own.column("query"), own.column("code")], ["dim", "curve", "key", "uid", "query", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array([dim] * len(at), pa.int32()), pa.array([t] * len(at), pa.int32()), pa.array(key), own.column("uid"), own.column("query"), own.column("code"), own.column("off")], ["dim", "curve", "key", "uid", "query", "code", "off"])
 
     return run
 
@@ -137,27 +146,29 @@ def _numbered(batches):
         at += n
 
 
-def _best(kept: int):
-    """Of one block: for each query the `kept` rows of largest cosine, by the bytes."""
+def _best(k: int):
+    """Of one block: for each query the rows that may be among its k of largest cosine, with the cosine of the bytes and what that may be off."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy()
         queries, held = rows[asks], rows[~asks]
         if not len(queries) or not len(held):
-            return pd.DataFrame({"query": [], "uid": [], "near": []})
+            return pd.DataFrame({"query": [], "uid": [], "near": [], "off": []})
         units = []
         for part in (queries, held):
             x = np.frombuffer(b"".join(part["code"]), dtype=np.int8).reshape(len(part), -1).astype(np.float32)
             units.append(x / np.linalg.norm(x, axis=1, keepdims=True))
         asked, ids = queries["uid"].to_numpy(), held["uid"].to_numpy()
+        ask_off, off = queries["off"].to_numpy(), held["off"].to_numpy() + SLACK
         out = []
         for start in range(0, len(asked), 512):
             near = units[0][start : start + 512] @ units[1].T
-            near[asked[start : start + 512, None] == ids[None, :]] = -2
-            top = np.argpartition(-near, min(kept, len(ids)) - 1, axis=1)[:, :kept]
-            out.append(pd.DataFrame({"query": np.repeat(asked[start : start + 512], top.shape[1]), "uid": ids[top].ravel(), "near": np.take_along_axis(near, top, axis=1).ravel()}))
-        found = pd.concat(out)
-        return found[found["near"] > -1.5].astype({"near": "float64"})
+            near[asked[start : start + 512, None] == ids[None, :]] = -9
+            # The query's own error is in all its bounds alike.
+            least = np.partition(near - off, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k), None]
+            i, j = np.nonzero((near + off >= least - 2 * ask_off[start : start + 512, None]) & (near > -8))
+            out.append(pd.DataFrame({"query": asked[start + i], "uid": ids[j], "near": near[i, j].astype(np.float64), "off": ask_off[start + i] + off[j]}))
+        return pd.concat(out)
 
     return run
 
@@ -178,14 +189,16 @@ def nearest(vectors: DataFrame, *, k: int = 5, divisor: int = 50, curves: int =
     """
     spark = vectors.sparkSession
     common.bounded_batches(spark)
-    usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_prepare(divisor), "vec_id long, vector array<double>, dim int, code binary, query boolean")
+    usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_prepare(divisor), "vec_id long, vector array<double>, dim int, code binary, off double, same binary, query boolean")
     rows = common.stored(usable.withColumn("uid", F.monotonically_increasing_id()))
-    dims = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}
-    keyed = rows.select("dim", "code", "uid", "query").mapInArrow(_keys(curves, dimensions, bits), "dim int, curve int, key long, uid long, query boolean, code binary")
+    # A row for each direction, under the least uid; the vectors of a direction differ in length only.
+    ways = common.stored(rows.groupBy("same").agg(F.min("uid").alias("uid"), F.first("dim").alias("dim"), F.first("code").alias("code"), F.first("off").alias("off"), F.max("query").alias("query")))
+    dims = {r[0]: r[1] for r in ways.groupBy("dim").count().collect()}
+    keyed = ways.select("dim", "code", "off", "uid", "query").mapInArrow(_keys(curves, dimensions, bits), "dim int, curve int, key long, uid long, query boolean, code binary, off double")
     total = sum(dims.values()) * curves
     parts = max(1, -(-total // 200_000), min(total // 20_000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ranged = keyed.repartitionByRange(parts, "dim", "curve", "key", "uid").sortWithinPartitions("dim", "curve", "key", "uid")
-    dealt = common.stored(ranged.mapInArrow(_numbered, "dim int, curve int, key long, uid long, query boolean, code binary, part int, at long"))
+    dealt = common.stored(ranged.mapInArrow(_numbered, "dim int, curve int, key long, uid long, query boolean, code binary, off double, part int, at long"))
     # A row for each partition and curve: where its first row stands on the curve.
     runs = dealt.groupBy("dim", "curve", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("dim", "curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
@@ -194,17 +207,27 @@ def nearest(vectors: DataFrame, *, k: int = 5, divisor: int = 50, curves: int =
     size = F.element_at(F.create_map(*(F.lit(x) for d, w in wide.items() for x in (d, min(w, BLOCK)))), F.col("dim")) if dims else F.lit(1)
     reach = F.element_at(F.create_map(*(F.lit(x) for d, w in wide.items() for x in (d, -(-w // min(w, BLOCK))))), F.col("dim")) if dims else F.lit(1)
     placed = dealt.join(runs, ["dim", "curve", "part"]).withColumn("block", F.floor((F.col("at") + F.col("shift")) / size).cast("long"))
-    held = placed.select("dim", "curve", "block", "uid", "code", F.lit(False).alias("asks"))
-    asking = placed.filter("query").select("dim", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), "uid", "code", F.lit(True).alias("asks"))
-    found = held.unionByName(asking).groupBy("dim", "curve", "block").applyInPandas(_best(KEPT * k), "query long, uid long, near double")
-    found = found.groupBy("query", "uid").agg(F.max("near").alias("near"))
-    found = found.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("near"), "uid"))).filter(F.col("n") <= KEPT * k)
-
-    asked = rows.filter("query").select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("a"))
-    scored = found.select("query", "uid").join(rows.select("uid", "vec_id", F.col("vector").alias("b")), "uid").join(asked, "query")
-    scored = scored.select("query", "query_id", "vec_id", "uid", _cosine("a", "b").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = placed.select("dim", "curve", "block", "uid", "code", "off", F.lit(False).alias("asks"))
+    asking = placed.filter("query").select("dim", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), "uid", "code", "off", F.lit(True).alias("asks"))
+    found = held.unionByName(asking).groupBy("dim", "curve", "block").applyInPandas(_best(k), "query long, uid long, near double, off double")
+    found = found.groupBy("query", "uid").agg(F.max("near").alias("near"), F.max("off").alias("off"))
+    found = found.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.col("near") - F.col("off")))))
+    found = found.withColumn("least", F.max(F.when(F.col("n") == k, F.col("near") - F.col("off"))).over(W.partitionBy("query")))
+    found = found.filter(F.col("least").isNull() | (F.col("near") + F.col("off") >= F.col("least"))).select("query", "uid")
+
+    # Directions by the exact cosine, each direction's own among them; then their rows: no more than k + 1 of one can be needed.
+    asked = ways.filter("query").select(F.col("uid").alias("query"))
+    vectors = ways.select("uid", "same").join(rows.select("uid", "vector"), "uid")
+    scored = found.unionByName(asked.select("query", F.col("query").alias("uid"))).join(vectors.select("uid", F.col("same").alias("theirs"), F.col("vector").alias("b")), "uid")
+    scored = scored.join(vectors.select(F.col("uid").alias("query"), "same", F.col("vector").alias("a")), "query").select("same", "theirs", _cosine("a", "b").alias("score"))
+    first = F.row_number().over(W.partitionBy("same").orderBy("vec_id", "uid"))
+    members = rows.select("same", "vec_id", "uid").withColumn("n", first).filter(F.col("n") <= k + 1).select(F.col("same").alias("theirs"), "vec_id", "uid")
+    place = F.row_number().over(W.partitionBy("same").orderBy(F.desc("score"), "vec_id", "uid"))
+    best = scored.join(members, "theirs").withColumn("place", place).filter(F.col("place") <= k + 1).select("same", "place", "vec_id", "uid", "score")
+    listed = best.groupBy("same").agg(F.array_sort(F.collect_list(F.struct("place", "uid", "vec_id", "score"))).alias("best"))
+    answers = rows.filter("query").select("same", F.col("uid").alias("own"), F.col("vec_id").alias("query_id")).join(listed, "same")
+    others = F.slice(F.filter("best", lambda x: x["uid"] != F.col("own")), 1, k)
+    return answers.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

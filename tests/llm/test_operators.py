@@ -371,6 +371,19 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(frame(spark, [], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_nearest_of_many_copies_and_of_vectors_within_a_byte(spark):
+    r = np.random.default_rng(4)
+    copy, close = r.normal(size=16), r.normal(size=16)
+    ids = [int(k) for k in r.permutation(200)]
+    vectors = [copy * 2.0 ** (k % 3) for k in range(100)] + [close + r.normal(size=16) * 1e-5 for _ in range(60)] + [r.normal(size=16) for _ in range(40)]
+    rows = [(k, [float(x) for x in v]) for k, v in zip(ids, vectors, strict=True)]
+    units = {k: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for k, v in zip(ids, vectors, strict=True)}
+    got: dict = {}
+    for x in neighbours.nearest(frame(spark, rows, "vec_id long, embedding array<double>"), divisor=10).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert got == {q: [k for _, k in sorted((-float(np.dot(units[q], u)), k) for k, u in units.items() if k != q)[:5]] for q in ids if q % 10 == 0}
+
+
 def test_hilbert_neighbours_are_adjacent_cells():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = neighbours.hilbert_keys(cells, 3)

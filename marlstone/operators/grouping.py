@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similarity
+
 
 def seeded(key: Column | str, seed: int = 42) -> Column:
     """A pseudo-random order of keys that every engine with MD5 can repeat."""
@@ -58,15 +60,31 @@ def greedy_split(groups: DataFrame, key: str, size: str, test: float, val: float
     return targets.selectExpr(f"inline({step})").select(F.col("k").alias(key), (-F.col("o")).alias(size), "split")
 
 
-def first_fit(items: DataFrame, threshold: float) -> DataFrame:
+#: Items that one fold of first_fit holds.
+FOLD = 256
+
+
+def first_fit(items: DataFrame, threshold: float, fold: int = FOLD) -> DataFrame:
     """id and rep: each item joins the first group, in order of founding, whose founder correlates above threshold, or founds one.
 
-    A fold in order of id over (id, v) with vectors of length one: meant for
-    report-sized lists, since the rule depends on the order of all items.
+    items: (id, v) with vectors of length one, an id a row; rows without an id take no part.
+    A fold in order of id over the first `fold` items gives the first founders; all later
+    items are held against those, and the ones that join none begin again.  Founders of a later
+    fold come later in order of id, so the first that fits is the same as one by one.
     """
-    listed = items.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("g"))
     step = f"""aggregate(g, named_struct('reps', slice(g, 1, 0), 'out', cast(array() AS array<struct<id:bigint,rep:bigint>>)), (a, x) ->
         aggregate(a.reps, cast(NULL AS bigint), (f, r) -> coalesce(f, if(aggregate(zip_with(r.v, x.v, (p, q) -> p * q), 0D, (s, y) -> s + y) > {threshold!r}D, r.id, NULL)),
           f -> if(f IS NULL, named_struct('reps', concat(a.reps, array(x)), 'out', concat(a.out, array(named_struct('id', x.id, 'rep', x.id)))),
-                             named_struct('reps', a.reps, 'out', concat(a.out, array(named_struct('id', x.id, 'rep', f))))))).out"""
-    return listed.selectExpr(f"inline({step})")
+                             named_struct('reps', a.reps, 'out', concat(a.out, array(named_struct('id', x.id, 'rep', f)))))))"""
+    joined = f"aggregate(a.reps, cast(NULL AS bigint), (f, r) -> coalesce(f, if(aggregate(zip_with(r.v, v, (p, q) -> p * q), 0D, (s, y) -> s + y) > {threshold!r}D, r.id, NULL)))"
+    left = items.select(F.col("id").cast("long").alias("id"), "v").filter("id IS NOT NULL")
+    done = None
+    while True:
+        last = left.select("id").orderBy("id").limit(fold).agg(F.max("id")).first()[0]
+        if last is None:
+            return left.select("id", F.col("id").alias("rep")) if done is None else done
+        folded = similarity._kept(left.filter(F.col("id") <= last).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("g")).selectExpr(f"{step} AS a"))
+        later = similarity._kept(left.filter(F.col("id") > last).crossJoin(F.broadcast(folded)).selectExpr("id", "v", f"{joined} AS rep"))
+        out = folded.selectExpr("inline(a.out)").unionByName(later.filter("rep IS NOT NULL").select("id", "rep"))
+        done = out if done is None else done.unionByName(out)
+        left = later.filter("rep IS NULL").select("id", "v")

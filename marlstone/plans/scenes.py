@@ -86,7 +86,7 @@ def q_renumbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_first_fit_groups(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").filter("vec_id < 100").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     n = F.sqrt(similarity.dot(F.col("v"), F.col("v")))
     unit = v.withColumn("n", n).select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
     return grouping.first_fit(unit, 0.25)

@@ -120,6 +120,21 @@ def test_splits_keep_groups_whole(spark):
     assert n == {"train": 28, "val": 6, "test": 6}
 
 
+def test_first_fit_takes_the_whole_table(spark, tmp_path):
+    r = random.Random(3)
+    vectors = {k: [r.gauss(0, 1) for _ in range(8)] for k in r.sample(range(1000), 230)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    units = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, v in vectors.items()}
+    brute, founders = {}, []
+    for k in sorted(units):
+        brute[k] = next((f for f in founders if sum(a * b for a, b in zip(units[f], units[k], strict=True)) > 0.25), k)
+        founders += [k] if brute[k] == k else []
+    assert {x.id: x.rep for x in catalogue.QUERIES["q_first_fit_groups"](spark, str(tmp_path)).collect()} == brute
+    items = spark.createDataFrame(list(units.items()), "id long, v array<double>")
+    assert {x.id: x.rep for x in grouping.first_fit(items, 0.25, fold=7).collect()} == brute
+    assert grouping.first_fit(items.limit(0), 0.25).count() == 0
+
+
 def test_gate_and_parity(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, a double")
     b = spark.createDataFrame([(1, 1.5), (3, 2.0)], "k int, b double")

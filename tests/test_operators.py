@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from marlstone.functions import statistics
 from marlstone.operators import audit, detection, geometry, grouping, similarity
-from marlstone.plans import catalogue
+from marlstone.plans import catalogue, common
 from marlstone.sources import annotations
 from marlstone.streaming import drift
 
@@ -135,6 +135,19 @@ def test_first_fit_takes_the_whole_table(spark, tmp_path):
     assert grouping.first_fit(items.limit(0), 0.25).count() == 0
 
 
+def test_boxes_and_orphans_take_whole_tables(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(k, k % 4, [r.gauss(0, 0.05) for _ in range(9)]) for k in range(30)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, ids in (("documents", range(0, 9)), ("labels", range(3, 12))):
+        spark.createDataFrame([(k,) for k in ids], "doc_id long").write.parquet(f"{tmp_path}/{name}.parquet")
+    gt, det = common.boxes(spark, str(tmp_path))
+    assert sorted(x.gt_id for x in gt.collect()) == sorted(x.det_id for x in det.collect()) == list(range(30))
+    assert {x.det_id for x in catalogue.QUERIES["q_greedy_match"](spark, str(tmp_path)).collect()} == set(range(30))
+    orphans = {(x.doc_id, x.rule) for x in catalogue.QUERIES["q_orphans"](spark, str(tmp_path)).collect()}
+    assert orphans == {(k, "document without label") for k in range(3)} | {(k, "label without document") for k in range(9, 12)}
+
+
 def test_gate_and_parity(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, a double")
     b = spark.createDataFrame([(1, 1.5), (3, 2.0)], "k int, b double")

@@ -9,8 +9,8 @@ statistic joins them; a low one looks random.
 A candidate counts as a secret if ordinary text of its length so rarely looks
 as random that, by Benjamini and Hochberg's rule, a share of at most `RATE` of
 what is reported at that length would be ordinary text.  How ordinary text
-behaves is counted over all documents: each gives windows of its own letters,
-one for every length class.  Both counts are histograms of bounded size, so only
+behaves is counted over the whole of all texts: each is cut into windows of its own small
+letters, anew for every length class.  Both counts are histograms of bounded size, so only
 those reach the driver.
 """
 
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,31 +130,79 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return found
 
 
-_SMALL = re.compile(r"[a-z]+")
+_NOT_SMALL = bytes(c for c in range(256) if not 0x61 <= c <= 0x7A)
+#: Bytes of windows that are tested at once.
+_AT_ONCE = 1 << 20
+
+
+def _windows(texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
+    """(length class, windows one after the other) of the small letters of each text, all of them: the last window of a text ends with it."""
+    held = [bytearray() for _ in LENGTHS]
+    for text in texts:
+        letters = common.encoded(text).translate(None, _NOT_SMALL)
+        for k, n in enumerate(LENGTHS):
+            whole = len(letters) // n * n
+            for start in range(0, whole, _AT_ONCE // n * n):
+                held[k] += letters[start : min(whole, start + _AT_ONCE // n * n)]
+                if len(held[k]) >= _AT_ONCE:
+                    yield k, bytes(held[k])
+                    held[k].clear()
+            if whole and whole < len(letters):
+                held[k] += letters[-n:]
+    yield from ((k, bytes(x)) for k, x in enumerate(held) if x)
+
+
+def _letter_statistics(windows: bytes, n: int) -> np.ndarray:
+    """statistic() of each n of the small letters."""
+    x = np.frombuffer(windows, dtype=np.uint8).reshape(-1, n).astype(np.int64) - 0x61
+    few = np.flatnonzero((x < 6).all(axis=1))  # a smaller alphabet holds these
+    k, free, rows = 26, 25, len(x)
+    counts = np.bincount((x + k * np.arange(rows)[:, None]).ravel(), minlength=k * rows).reshape(rows, k)
+    chi2 = ((counts - n / k) ** 2).sum(axis=1) * k / n
+    z = ((chi2 / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    total = np.log(np.maximum(0.5 * _erfc(z / math.sqrt(2)), 1e-12))
+    high = x >= k / 2
+    a = high.sum(axis=1)
+    b = n - a
+    runs, mean = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1), 1 + 2 * a * b / n
+    z = (runs - mean) / np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    total += np.log(np.where((a > 0) & (b > 0), np.maximum(_erfc(np.abs(z) / math.sqrt(2)), 1e-12), 2.0 ** (1 - n) if n < 40 else 1e-12))
+    d = x - (k - 1) / 2
+    z = (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-9) * math.sqrt(n)
+    out = -2 * (total + np.log(np.maximum(_erfc(np.abs(z) / math.sqrt(2)), 1e-12)))
+    for at in few.tolist():
+        out[at] = statistic(windows[at * n : (at + 1) * n].decode())
+    return out
 
 
-def ordinary(text: str) -> list[tuple[int, int]]:
-    """(length class, bin) of one window of the text's own small letters for each length class.
+def _erfc(z: np.ndarray) -> np.ndarray:
+    return np.array([math.erfc(v) for v in z.tolist()])
 
-    The window starts at a place that the text's checksum fixes.
-    """
-    n = 8 * LENGTHS[-1]
-    at = zlib.crc32(common.encoded(text)) % max(1, len(text))
-    letters = "".join(_SMALL.findall(text[at : at + n] + text[: min(at, max(0, at + n - len(text)))]))
-    return [(k, _bin(s)) for k, n in enumerate(LENGTHS) if len(letters) >= n and (s := statistic(letters[:n])) is not None]
+
+def ordinary(texts: list[str | None]) -> Counter[tuple[int, int]]:
+    """Windows of the texts' own small letters by (length class, bin)."""
+    out: Counter[tuple[int, int]] = Counter()
+    for k, windows in _windows(texts):
+        bins = np.minimum(BINS - 1, (4 * _letter_statistics(windows, LENGTHS[k])).astype(np.int64))
+        for b, n in zip(*np.unique(bins, return_counts=True), strict=True):
+            out[k, int(b)] += int(n)
+    return out
 
 
 def _scan(batches):
     spot = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
     token = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length", pa.int32()), ("bin", pa.int32())])
-    plain = pa.struct([("length", pa.int32()), ("bin", pa.int32())])
+    plain = pa.struct([("length", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
     for batch in batches:
         columns: tuple[list, ...] = ([], [], [])
-        for text in batch.column("text").to_pylist():
+        texts = batch.column("text").to_pylist()
+        for text in texts:
             base = base_spans(text or "")
             columns[0].append([{"kind": k, "start": s, "end": e} for k, s, e in base])
             columns[1].append([{"start": s, "end": e, "length": n, "bin": b} for s, e, n, b in candidates(text or "", base)])
-            columns[2].append([{"length": n, "bin": b} for n, b in ordinary(text or "")])
+            columns[2].append([])
+        if texts:  # the first row of a batch has the counts of all its rows
+            columns[2][0] = [{"length": k, "bin": b, "n": n} for (k, b), n in sorted(ordinary(texts).items())]
         kept = [(n, batch.column(n)) for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *(pa.array(c, pa.list_(t)) for c, t in zip(columns, (spot, token, plain), strict=True))], [*(n for n, _ in kept), "base", "candidates", "ordinary"])
 
@@ -187,10 +236,10 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     common.bounded_batches(docs.sparkSession)
     docs = docs.drop("base", "candidates", "ordinary", "secrets")
     kept = docs.drop("text")
-    shape = kept.withColumns({"base": F.array().cast("array<struct<kind:int,start:long,end:long>>"), "candidates": F.array().cast("array<struct<start:long,end:long,length:int,bin:int>>"), "ordinary": F.array().cast("array<struct<length:int,bin:int>>")}).schema
+    shape = kept.withColumns({"base": F.array().cast("array<struct<kind:int,start:long,end:long>>"), "candidates": F.array().cast("array<struct<start:long,end:long,length:int,bin:int>>"), "ordinary": F.array().cast("array<struct<length:int,bin:int,n:long>>")}).schema
     scanned = common.stored(docs.mapInArrow(_scan, shape))
-    counted = lambda column: {(r[0], r[1]): r[2] for r in scanned.select(F.inline(column)).groupBy("length", "bin").count().collect()}
-    cut = thresholds(counted("candidates"), counted("ordinary"), rate)
+    counted = lambda column, n: {(r[0], r[1]): r[2] for r in scanned.select(F.inline(column)).groupBy("length", "bin").agg(n).collect()}
+    cut = thresholds(counted("candidates", F.count("*")), counted("ordinary", F.sum("n")), rate)
     limit = F.array(*(F.lit(cut.get(k, 0)) for k in range(len(LENGTHS))))
     random = F.transform(F.filter("candidates", lambda x: x["bin"] < F.element_at(limit, x["length"] + 1)), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end")))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))

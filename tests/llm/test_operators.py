@@ -165,6 +165,22 @@ def test_secrets(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_ordinary_windows_cover_all_text(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice("etaoinshrdlu  ,.A") for _ in range(n)) for n in (0, 19, 30, 700, 5000)] + [None, "abcdef" * 20, "z" * 90]
+    brute: Counter = Counter()
+    for t in texts:
+        letters = re.sub("[^a-z]", "", t or "")
+        for k, n in enumerate(secrets.LENGTHS):
+            whole = len(letters) // n * n
+            brute.update((k, secrets._bin(secrets.statistic(letters[i : i + n]))) for i in [*range(0, whole, n), *([len(letters) - n] if whole and whole < len(letters) else [])])
+    assert secrets.ordinary(texts) == brute
+    blob = "".join(r.choice(secrets.ALPHABETS["base62"]) for _ in range(44))
+    prose = lambda n: " ".join("".join(r.choice(["the", "ing", "er", "an", "tion", "es"]) for _ in range(r.randint(1, 6))) for _ in range(n))
+    few = {x.doc_id: x.secrets for x in secrets.find_secrets(frame(spark, [(k, prose(1500)) for k in range(12)] + [(20, f"a {blob} b")])).collect()}
+    assert [(x.kind, x.start, x.end) for x in few[20]] == [("random", 2, 46)] and not any(few[k] for k in range(12))
+
+
 def test_lattice_sums_all_segmentations():
     own = lattice.vocabulary(str(__import__("public_tokenizers").path("piece_bpe_32k.model")))
     weights = own.weights({})

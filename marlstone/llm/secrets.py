@@ -1,6 +1,7 @@
 """Secrets: exact base patterns, and a randomness test battery for the tokens they miss.
 
-A candidate is a run of `MIN_LENGTH` or more characters of the usual encodings.
+A candidate is a run of `MIN_LENGTH` or more characters of the usual encodings, or, where
+a run fits none of them as a whole, its parts between separators.
 Its alphabet is inferred from its characters, and three tests ask whether its
 symbols are uniform and independent: chi-squared over the alphabet, runs above
 and below the alphabet's middle, and lag-one serial correlation.  Fisher's
@@ -117,6 +118,28 @@ def _bin(s: float) -> int:
     return min(BINS - 1, int(4 * s))
 
 
+_SLASHED, _DASHED = re.compile(r"[^/]+"), re.compile(r"[^_-]+")
+
+
+def _parts(run: str) -> list[tuple[int, int, float]]:
+    """(start, end, statistic) of what is tested of a run, by start.
+
+    A run outside all alphabets has both / or + and - or _.  It is split at / (and at - and _
+    where that isn't enough) as well as at - and _ alone; of parts that overlap the more random one stays.
+    """
+    if (s := statistic(run)) is not None:
+        return [(0, len(run), s)]
+    spans = {m.span() for m in _DASHED.finditer(run)}
+    for m in _SLASHED.finditer(run):
+        spans |= {m.span()} if symbols(m[0].rstrip("=")) else {(m.start() + x.start(), m.start() + x.end()) for x in _DASHED.finditer(m[0])}
+    tested = [(statistic(run[a:b]), a, b) for a, b in spans if len(run[a:b].rstrip("=")) >= MIN_LENGTH]
+    kept: list[tuple[int, int, float]] = []
+    for s, a, b in sorted(tested):
+        if all(b <= start or end <= a for start, end, _ in kept):
+            kept.append((a, b, s))
+    return sorted(kept)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, length class, bin) of the tokens outside all base spans."""
     found, k, done = [], 0, 0
@@ -124,9 +147,9 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         while k < len(base) and base[k][1] < m.end():
             done = max(done, base[k][2])
             k += 1
-        if done > m.start() or (s := statistic(m[0])) is None:
+        if done > m.start():
             continue
-        found.append((m.start(), m.end(), length_class(m.end() - m.start()), _bin(s)))
+        found += [(m.start() + a, m.start() + b, length_class(b - a), _bin(s)) for a, b, s in _parts(m[0])]
     return found
 
 

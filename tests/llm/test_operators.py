@@ -181,6 +181,16 @@ def test_ordinary_windows_cover_all_text(spark):
     assert [(x.kind, x.start, x.end) for x in few[20]] == [("random", 2, 46)] and not any(few[k] for k in range(12))
 
 
+def test_runs_of_no_alphabet_are_split():
+    r = random.Random(12)
+    for alphabet, around in (("base62", ("/my-hook/", "/x_y")), ("base64url", ("/my-hook/", "/end")), ("base64", ("my-own_", "-x/y"))):
+        blob = "".join(r.choice(secrets.ALPHABETS[alphabet]) for _ in range(42)) + "a" + secrets.ALPHABETS[alphabet][-1] + "Z9"
+        text = f"see {around[0]}{blob}{around[1]} there"
+        start = text.index(blob)
+        assert [(a, b) for a, b, _, _ in secrets.candidates(text, [])] == [(start, start + len(blob))]
+    assert secrets.candidates("see /some/path-of/many_short/parts+here", []) == []
+
+
 def test_lattice_sums_all_segmentations():
     own = lattice.vocabulary(str(__import__("public_tokenizers").path("piece_bpe_32k.model")))
     weights = own.weights({})

@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: None: neither compression distances nor alignments have a form in SQL; tests hold the stages against brute force.
+#: None: neither compression distances nor alignments have a form in SQL. No test runs the stages joined.
 ORACLE_SQL = None
 
 

@@ -224,28 +224,50 @@ def test_language_model_counts(spark):
     assert lattice.score_texts(frame(spark, []), path).count() == 0
 
 
-def _substrings(rows, length):
+def _runs(d, length, counts):
+    gone = bytearray(len(d))
+    for k in range(len(d) - length + 1):
+        if counts[d[k : k + length]] > 1:
+            gone[k : k + length] = b"\1" * length
+    return gone, [(m.start(), m.end()) for m in re.finditer(b"\1+", gone)]
+
+
+def _substrings(rows, length, short, words):
     data = [(t or "").encode() for _, t in rows]
-    counts = Counter(d[k : k + length] for d in data for k in range(len(d) - length + 1))
+    counts, few = (Counter(d[k : k + n] for d in data for k in range(len(d) - n + 1)) for n in (length, short))
     out = []
     for (doc, _), d in zip(rows, data, strict=True):
-        gone = bytearray(len(d))
-        for k in range(len(d) - length + 1):
-            if counts[d[k : k + length]] > 1:
-                gone[k : k + length] = b"\1" * length
+        gone, spans = _runs(d, length, counts)
         kept = bytes(x for x, g in zip(d, gone, strict=True) if not g)
-        out.append((doc, len(d), sum(gone), sum(gone[k] and not (k and gone[k - 1]) for k in range(len(d))), hashlib.sha256(kept).hexdigest()))
+        inside = [(s, e) for s, e in _runs(d, short, few)[1] if sum(s <= m.start() and m.end() <= e for m in re.finditer(rb"[^ ]+", d)) > words]
+        if data.count(d) > 1 and len(d.split()) > words:
+            inside = [(0, len(d))]
+        out.append((doc, len(d), spans, inside, hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
-def test_substrings_against_brute_force(spark, hot):
-    r = random.Random(hot)
+@pytest.mark.parametrize("bucket", [20_000, 0])
+def test_substrings_against_brute_force(spark, bucket, monkeypatch):
+    r = random.Random(bucket)
+    monkeypatch.setattr(substrings, "AT_ONCE", 40)
     parts = ["".join(r.choice("abcdé ") for _ in range(r.randint(10, 80))) for _ in range(12)]
     rows = [(k, "".join(r.choice(parts) if r.random() < 0.6 else "".join(r.choice("xyzw") for _ in range(9)) for _ in range(r.randint(0, 5)))) for k in range(50)]
-    rows += [(100, None), (None, rows[3][1]), (3, rows[3][1]), (101, "a" * 100), (102, "ab" * 40), (103, "a" * 30), (5, "zz")]
-    out = substrings.repeated_substrings(frame(spark, rows), length=24, gram=6, hot=hot).collect()
-    assert sorted(((x.doc_id, x.n_bytes, sum(s.end - s.start for s in x.spans), len(x.spans), x.kept_sha256) for x in out), key=str) == _substrings(rows, 24)
+    rows += [(100, None), (None, rows[3][1]), (3, rows[3][1]), (101, "a" * 100), (102, "ab" * 40), (103, "a" * 30), (5, "zz"), (104, " a b" * 30), (105, "a b c d"), (106, "a b c d")]
+    rows += [(200 + k, r.choice("uvw") * r.randint(0, 20) + "the same long line " * 3 + r.choice("uvw") * r.randint(0, 20)) for k in range(60)]
+    out = substrings.repeated_substrings(frame(spark, rows), length=24, gram=6, passage_bytes=13, passage_words=2, bucket=bucket).collect()
+    assert sorted(((x.doc_id, x.n_bytes, [tuple(s) for s in x.spans], [tuple(s) for s in x.passages], x.kept_sha256) for x in out), key=str) == _substrings(rows, 24, 13, 2)
+
+
+def test_anchors_do_not_depend_on_blocks(monkeypatch):
+    r = random.Random(19)
+    texts = ["".join(r.choice("ab ") for _ in range(r.choice([0, 5, 30, 300, 2000]))).encode() for _ in range(12)] + [b"x" * 500]
+    starts = lambda found, a, b: [sorted((int(x["h"]), int(x["pos"]), s) for x in own for s in range(x["pos"] + x[a], x["pos"] + x[b] + 1)) for own in found]
+    whole = substrings.anchors(texts, 40, 6, 20)
+    monkeypatch.setattr(substrings, "BLOCK", 64)
+    parts = substrings.anchors(texts, 40, 6, 20)
+    for a, b, n in (("lo", "hi", 20), ("wide_lo", "wide_hi", 40)):
+        assert starts(whole, a, b) == starts(parts, a, b)
+        assert [sorted(s for _, _, s in x) for x in starts(whole, a, b)] == [list(range(max(0, len(t) - n + 1))) for t in texts]
 
 
 def test_first_copies_stay_on_request(spark):
@@ -257,12 +279,29 @@ def test_first_copies_stay_on_request(spark):
     assert substrings.repeated_substrings(frame(spark, [])).count() == 0
 
 
-def test_longest_previous_factors():
+def test_factors_are_longest_previous_factors_cut_at_a_length():
     r = random.Random(10)
-    for _ in range(40):
-        d = bytes(r.choice(b"ab") for _ in range(r.randint(0, 50)))
-        brute = [max([0] + [next(k for k in range(len(d) - i + 1) if i + k == len(d) or d[i + k] != d[j + k]) for j in range(i)]) for i in range(len(d))]
-        assert substrings.longest_previous_factors(d) == brute
+    for length in (3, 9):
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 30))) for _ in range(12)]
+        at = [(t, p) for t, d in enumerate(texts) for p in range(len(d) - 1)]
+        # One bucket for each two bytes: the suffixes that begin there, with what stands before them in reach.
+        rows = []
+        for t, p in at:
+            d, lo, hi = texts[t], max(-1, -p), min(0, len(texts[t]) - p - length)
+            if lo <= hi:
+                rows.append((int.from_bytes(d[p : p + 2], "big"), b"%d,%d" % (t, p), d[p + lo : p + hi + length], -lo, 0, -99, lo, hi, 1, bytes([t, p])))
+        marks = {}
+        for name, wide, lo, hi, first in substrings.factors(rows, (2, length)):
+            t, p = map(int, name.split(b","))
+            for o in range(lo, hi + 1) if wide else ():
+                marks[t, p, o] = first
+        for _, name, _, _, _, _, lo, hi, _, _ in rows:
+            t, p = map(int, name.split(b","))
+            for o in range(lo, hi + 1):
+                own = texts[t][p + o : p + o + length]
+                same = [x for _, x, b, before, _, _, a, z, _, _ in rows if texts[t][p : p + 2] == b[before : before + 2] and a <= o <= z and b[before + o : before + o + length] == own]
+                earlier = [x for x in same if tuple(map(int, x.split(b","))) < (t, p)]  # a previous factor of `length`
+                assert marks.get((t, p, o)) == (None if len(same) < 2 else not earlier)
 
 
 def test_extraction(spark):
@@ -423,15 +462,3 @@ def test_queries_are_registered():
 
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
     assert json.dumps(queries.ORACLES) == "{}"
-
-
-def test_few_and_many_surroundings_match_alike(monkeypatch):
-    r = random.Random(16)
-    held = []
-    for k in range(30):
-        lo, hi = -r.randint(0, 14), r.randint(-3, 0)
-        text = "".join(r.choice("ab") if r.random() < 0.15 else "a" for _ in range(60)).encode()
-        held.append((bytes([k]), text[20 + lo : 20 + hi + 16] if hi >= lo else text[20 + lo : 20 + lo + 16], lo, max(lo, hi), r.choice([1, 1, 2]), bytes([k])))
-    few = substrings.bucket_matches(held, 16)
-    monkeypatch.setattr(substrings, "FEW", 0)
-    assert sorted(substrings.bucket_matches(held, 16)) == sorted(few) and few

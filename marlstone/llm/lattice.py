@@ -3,13 +3,10 @@
 A unigram model over the pieces of an existing vocabulary gives a word the sum
 of the probabilities of all its segmentations, found by a forward recursion in
 log space.  A piece's weight joins its score in the vocabulary, read as a rank,
-and the number of different training words that hold it.  Next to these paths the
-lattice of a word that was seen in training has one arc over the whole word,
-weighted by its count: with N training tokens of V different words a word of
-count c has the probability (c + V * paths) / (N + 1 + V), and a text's end has
-(c + 1) / (N + 1 + V); all of them sum to one.  White space parts words and no
-piece crosses it, so a text's likelihood is the product of those of its words
-and of its end.
+and how often the vocabulary's own segmentation of the training words has it.  A text's end
+is one more piece, and all weights sum to one.  White space parts words, each begins with the mark that
+the vocabulary has for that, and no piece crosses it, so a text's likelihood is the product of those of its words
+and of its end: the marginal probability over all segmentations of the whole text.
 
 Texts are read once, into blocks of about BLOCK_BYTES that hold each distinct
 word once and the tokens as numbers.  Word counts, and then each word's values, go
@@ -92,13 +89,13 @@ class Vocabulary:
         self.ranks = {k: max(0.0, -m.get_score(k)) for k in self.pieces.values()}
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
-    def weights(self, counts: dict[int, int], prior: float = PRIOR) -> dict[int, float]:
-        """log10 probabilities of all pieces: counts, and prior pieces each shared out by 1 / (rank + 3)."""
+    def weights(self, counts: dict[int, int], ends: int = 0, prior: float = PRIOR) -> tuple[dict[int, float], float]:
+        """log10 probabilities of all pieces and of the end: counts, and prior pieces each shared out by 1 / (rank + 3); the end has one."""
         share = {k: 1 / (r + 3) for k, r in self.ranks.items()}
         scale = prior * len(share) / sum(share.values())
         mass = {k: counts.get(k, 0) + scale * x for k, x in share.items()}
-        total = math.log10(sum(mass.values()))
-        return {k: math.log10(x) - total for k, x in mass.items()}
+        total = math.log10(sum(mass.values()) + ends + 1)
+        return {k: math.log10(x) - total for k, x in mass.items()}, math.log10(ends + 1) - total
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -139,22 +136,20 @@ def _count_pieces(path: str):
         totals = np.zeros(own.model.get_piece_size(), dtype=np.int64)
         for batch in batches:
             words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            totals += np.bincount([k for ids in own.model.encode(words, num_threads=1) for k in ids], minlength=len(totals))
+            found = own.model.encode(words, num_threads=1)
+            times = np.repeat(batch.column(1).to_numpy(), [len(x) for x in found])
+            totals += np.bincount([k for ids in found for k in ids], weights=times, minlength=len(totals)).astype(np.int64)
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(totals[at], pa.int64())], ["piece", "n"])
 
     return run
 
 
-def _score_words(path: str, weights: dict[int, float], kinds: int, total: int):
+def _score_words(path: str, weights: dict[int, float]):
     def run(batches):
         lattice = Lattice(vocabulary(path), weights)
-        all_, few = math.log10(total), math.log10(kinds)
         for batch in batches:
-            out = []
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                paths = few + lattice.score(w.decode("utf-8", "replace"))
-                out.append((math.log10(c + 10**paths) if c else paths) - all_)
+            out = [lattice.score(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], ["word", "c", "score"])
 
     return run
@@ -190,7 +185,7 @@ def score_texts(docs: DataFrame, vocabulary_path: str, prior: float = PRIOR) ->
 
     Counts come from the documents that aren't held out, by crc32 of doc_id; a null doc_id
     counts as an empty string there.  A null or empty text has the end token alone.
-    Repeated rows count each time.  Without training documents every count is 0 and the
+    score is the lattice's marginal likelihood, base_score that of add-one counts of whole words.  Repeated rows count each time.  Without training documents every count is 0 and the
     vocabulary's own scores decide.  An empty table gives no rows.
     """
     common.bounded_batches(docs.sparkSession)
@@ -200,14 +195,14 @@ def score_texts(docs: DataFrame, vocabulary_path: str, prior: float = PRIOR) ->
     words = common.stored(listed.groupBy("word").agg(F.sum("n").alias("c")))
     c_end = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     known, total = words.agg(F.count_if(F.col("c") > 0), F.sum("c")).first()
-    n, v, kinds = (total or 0) + c_end, known + (c_end > 0), max(1, known)
-    counts = {r[0]: r[1] for r in words.filter("c > 0").mapInArrow(_count_pieces(vocabulary_path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    n, v = (total or 0) + c_end, known + (c_end > 0)
+    counts = {r[0]: r[1] for r in words.filter("c > 0").select("word", "c").mapInArrow(_count_pieces(vocabulary_path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     own = vocabulary(vocabulary_path)
-    weights = own.weights(counts, prior)
-    scored = words.mapInArrow(_score_words(vocabulary_path, weights, kinds, n + 1 + kinds), "word binary, c long, score double")
+    weights, end = own.weights(counts, c_end, prior)
+    scored = words.mapInArrow(_score_words(vocabulary_path, weights), "word binary, c long, score double")
     values = listed.select("block", "number", "word").join(scored, "word").groupBy("block").agg(F.collect_list(F.struct("number", "c", "score")).alias("values"))
     held = blocks.select("block", "docs", "held", "lengths", "ids").join(values, "block", "left").withColumn("values", F.coalesce("values", F.array().cast("array<struct<number:int,c:long,score:double>>")))
-    run = _sum_up(c_end > 0, math.log10((c_end + 1) / (n + v + 1)), math.log10((c_end + 1) / (n + 1 + kinds)), n, n + v + 1)
+    run = _sum_up(c_end > 0, math.log10((c_end + 1) / (n + v + 1)), end, n, n + v + 1)
     return held.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

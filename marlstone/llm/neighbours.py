@@ -4,18 +4,19 @@ Vectors of length one are projected on CURVES random subspaces of DIMENSIONS
 dimensions; each projection, shifted by its own offset, is a grid cell whose
 place on a Hilbert curve is the vector's key.  Spark range-partitions all keys of
 all curves at once, which ranks each vector on each curve, and a curve falls
-into blocks of equal numbers of vectors.  A query is compared with its own block and
-the blocks beside it that cover WINDOW of all rows on either side; the best of all its windows
-meet and are ranked again by the exact cosine.
+into blocks of BLOCK vectors.  A query is compared with its own block and the
+ones beside it on every curve; the best of all its windows meet.  While that still
+raises the k-th best score of a query, its windows are made twice as wide, and only what is new in them
+is looked at.  What is left is ranked again by the exact cosine.
+
+So the work for a query depends on how well the curves keep its neighbours together, not on the number
+of rows.  Data without structure in many dimensions has no order that does, and windows grow to a share of all rows there.
 
 Vectors of one direction are searched as one and stand for all their rows afterwards, the
 smallest vec_id first, however many they are.
 
-Blocks hold vectors as bytes, a component each, and at most BLOCK of them; more
-rows make more blocks.  A vector's error is how far its bytes are from it, so two errors bound
-what a cosine of bytes is off; whatever may be among the k best within that bound is ranked exactly.  On data without structure the share of rows that windows must cover
-for a given recall depends on the dimension, not on the number of rows, which
-is why WINDOW is a share; it is a parameter for data that has some.
+Blocks hold vectors as bytes, a component each.  A vector's error is how far its bytes are from it, so two errors bound
+what a cosine of bytes is off; whatever may be among the k best within that bound is ranked exactly.
 """
 
 from __future__ import annotations
@@ -36,9 +37,8 @@ from . import common
 CURVES = 32
 DIMENSIONS = 8
 BITS = 7
-WINDOW = 0.008
-LEAST_WINDOW = 64
-BLOCK = 4096
+#: Neighbours on a curve that are searched together.
+BLOCK = 256
 #: What a cosine in single precision may be off.
 SLACK = 1e-5
 SEED = 11
@@ -178,14 +178,42 @@ def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float(np.dot(_unit(np.asarray(x)), _unit(np.asarray(y)))) for x, y in zip(a, b, strict=True)])
 
 
-def nearest(vectors: DataFrame, *, k: int = 5, divisor: int = 50, curves: int = CURVES, window: float = WINDOW, dimensions: int = DIMENSIONS, bits: int = BITS) -> DataFrame:
+def _searched(placed: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(query, uid, near, off): what may be among the k best of each query, of windows that widened while its k-th best still rose."""
+    asks = placed.filter("query").drop("query")
+    best = None
+    least, reach = 0, 1
+    while True:
+        # Blocks at a distance of least to reach on either side; nearer ones were looked at.
+        sides = F.array_distinct(F.concat(F.sequence(F.col("block") - reach, F.col("block") - least), F.sequence(F.col("block") + least, F.col("block") + reach)))
+        asking = asks.select("dim", "curve", F.explode(sides).alias("block"), "uid", "code", "off", F.lit(True).alias("asks"))
+        held = placed.drop("query").join(asking.select("dim", "curve", "block").distinct(), ["dim", "curve", "block"], "left_semi").withColumn("asks", F.lit(False))
+        found = held.unionByName(asking).groupBy("dim", "curve", "block").applyInPandas(_best(k), "query long, uid long, near double, off double")
+        if best is not None:
+            found = found.unionByName(best.select("query", "uid", "near", "off"))
+        found = found.groupBy("query", "uid").agg(F.max("near").alias("near"), F.max("off").alias("off"))
+        found = found.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.col("near") - F.col("off")))))
+        found = found.withColumn("kth", F.max(F.when(F.col("n") == k, F.col("near") - F.col("off"))).over(W.partitionBy("query")))
+        found = common.stored(found.filter(F.col("kth").isNull() | (F.col("near") + F.col("off") >= F.col("kth"))).select("query", "uid", "near", "off", "kth"))
+        now = found.groupBy("query").agg(F.max("kth").alias("kth"))
+        open_ = now if best is None else now.join(best.groupBy("query").agg(F.max("kth").alias("before")), "query", "left").filter(F.col("kth").isNull() | F.col("before").isNull() | (F.col("kth") > F.col("before")))
+        best = found
+        # A query whose windows have not met any row yet is open too.
+        rest = asks.join(open_.select(F.col("query").alias("uid")), "uid", "left_semi").unionByName(asks.join(now.select(F.col("query").alias("uid")), "uid", "left_anti"))
+        if reach >= blocks or rest.limit(1).count() == 0:
+            return best.select("query", "uid", "near", "off")
+        asks = common.stored(rest)
+        least, reach = reach + 1, 2 * reach + 1
+
+
+def nearest(vectors: DataFrame, *, k: int = 5, divisor: int = 50, curves: int = CURVES, block: int = BLOCK, dimensions: int = DIMENSIONS, bits: int = BITS) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose vec_id is a multiple of divisor its k nearest others.
 
     vectors needs vec_id and embedding, an array of numbers.  Rows without a vec_id take no
     part, nor do vectors that are null, empty or zero or hold a null, NaN or infinity.
     Vectors are only compared with those of their own length.  Equal scores go to the smaller
     vec_id.  Rows that repeat a vec_id are rows of their own, each a candidate of the others.
-    Tables with no more rows than a window covers are searched whole; an empty one gives no rows.
+    A query's windows grow until that finds nothing better, at most to all rows; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     common.bounded_batches(spark)
@@ -203,17 +231,8 @@ def nearest(vectors: DataFrame, *, k: int = 5, divisor: int = 50, curves: int =
     runs = dealt.groupBy("dim", "curve", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("dim", "curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     runs = runs.select("dim", "curve", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    wide = {d: max(LEAST_WINDOW, int(np.ceil(window * n))) for d, n in dims.items()}
-    size = F.element_at(F.create_map(*(F.lit(x) for d, w in wide.items() for x in (d, min(w, BLOCK)))), F.col("dim")) if dims else F.lit(1)
-    reach = F.element_at(F.create_map(*(F.lit(x) for d, w in wide.items() for x in (d, -(-w // min(w, BLOCK))))), F.col("dim")) if dims else F.lit(1)
-    placed = dealt.join(runs, ["dim", "curve", "part"]).withColumn("block", F.floor((F.col("at") + F.col("shift")) / size).cast("long"))
-    held = placed.select("dim", "curve", "block", "uid", "code", "off", F.lit(False).alias("asks"))
-    asking = placed.filter("query").select("dim", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), "uid", "code", "off", F.lit(True).alias("asks"))
-    found = held.unionByName(asking).groupBy("dim", "curve", "block").applyInPandas(_best(k), "query long, uid long, near double, off double")
-    found = found.groupBy("query", "uid").agg(F.max("near").alias("near"), F.max("off").alias("off"))
-    found = found.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.col("near") - F.col("off")))))
-    found = found.withColumn("least", F.max(F.when(F.col("n") == k, F.col("near") - F.col("off"))).over(W.partitionBy("query")))
-    found = found.filter(F.col("least").isNull() | (F.col("near") + F.col("off") >= F.col("least"))).select("query", "uid")
+    placed = common.stored(dealt.join(runs, ["dim", "curve", "part"]).select("dim", "curve", F.floor((F.col("at") + F.col("shift")) / block).cast("long").alias("block"), "uid", "query", "code", "off"))
+    found = _searched(placed, k, max((-(-n // block) for n in dims.values()), default=0)).select("query", "uid")
 
     # Directions by the exact cosine, each direction's own among them; then their rows: no more than k + 1 of one can be needed.
     asked = ways.filter("query").select(F.col("uid").alias("query"))

@@ -1,11 +1,11 @@
 """Sum-of-squares packing of tokenized documents into sequences of bounded length.
 
 A document's ids are cut into pieces only where it is longer than a sequence:
-every piece but the first is a full sequence.  Pieces are packed in shards of
+every piece but the first is a full sequence, and a full piece is packed as it is.  Shorter pieces are packed in shards of
 about `shard_pieces`; each shard places a piece where the sum of squared
 counts of open bins per residual gap becomes smallest.  The sequences that a
 shard leaves at most half full then become units that are packed again, by
-groups of shards, until one group is left, so no task ever sees more than a
+groups of shards, and what is still half empty by groups of groups, until one group is left, so no task ever sees more than a
 shard and the waste doesn't grow with the number of shards.
 """
 
@@ -194,26 +194,34 @@ def _pack_units(capacity: int):
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Lengths lie between 1 and capacity.  Repeated rows are packed each for
-    itself, ties go by doc_id; an empty table gives an empty result.
+    Lengths lie between 1 and capacity.  A piece of full length is a sequence by itself and is packed nowhere.
+    Repeated rows are packed each for itself, ties go by doc_id; an empty table gives an empty result.
+    `pieces` is read several times and must be the same each time, as a stored table is.
     """
-    short = pieces.filter(F.col("length") < capacity)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = pieces.filter(F.col("length") >= capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = pieces.filter(F.col("length") < capacity).select(*names)
     shards = max(1, -(-short.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # Rows that are alike are dealt out by their place in the table, so that no shard has all of them.
+    dealt = short.withColumn("shard", F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(shards)))
     kind = f"{_PIECES}, shard long, bin long, offset long, level long"
     placed = common.stored(dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), kind))
     if shards == 1:
-        return placed.select(*pieces.columns, F.col("bin").alias("sequence_id"), "offset")
+        return placed.select(*names, F.col("bin").alias("sequence_id"), "offset").unionByName(full)
 
     units = placed.filter(F.col("level") <= capacity // 2).groupBy("bin").agg(F.first("level").alias("level"), F.first("shard").alias("place"))
     units = units.select("place", F.col("bin").alias("unit"), "level", F.array(F.struct("bin", F.lit(0).cast("long").alias("base"))).alias("members"))
+    finished = None
     while shards > 1:
         shards = -(-shards // FAN_IN)
-        units = units.withColumn("place", F.floor(F.col("place") / FAN_IN).cast("long")) if shards > 1 else units.withColumn("place", F.lit(0).cast("long"))
-        units = units.groupBy("place").applyInPandas(_pack_units(capacity), "place long, unit long, level long, members array<struct<bin:long,base:long>>")
-    moved = units.select("unit", F.inline("members")).select(F.col("unit"), F.col("bin").alias("from_bin"), "base")
+        units = units.withColumn("place", F.floor(F.col("place") / FAN_IN).cast("long"))
+        units = common.stored(units.groupBy("place").applyInPandas(_pack_units(capacity), "place long, unit long, level long, members array<struct<bin:long,base:long>>"))
+        done = units if shards == 1 else units.filter(F.col("level") > capacity // 2)
+        finished = done if finished is None else finished.unionByName(done)
+        units = units.filter(F.col("level") <= capacity // 2)
+    moved = finished.select("unit", F.inline("members")).select(F.col("unit"), F.col("bin").alias("from_bin"), "base")
     joined = placed.join(moved, F.col("bin") == F.col("from_bin"), "left")
-    return joined.select(*pieces.columns, F.coalesce("unit", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
+    return joined.select(*names, F.coalesce("unit", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset")).unionByName(full)
 
 
 def paths() -> tuple[str, str]:

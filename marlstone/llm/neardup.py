@@ -245,9 +245,16 @@ def _across(buckets: DataFrame, dealt: DataFrame, labels: DataFrame, texts: Data
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id leads its class, one row for each; rows without a doc_id stay."""
+    """The rows of docs whose doc_id leads its class, each once; rows without a doc_id stay.
+
+    Rows that share a leading doc_id but not the text all stay: only equal ones are copies.
+    """
     kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    found = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    mark = "_content"
+    while mark in docs.columns:
+        mark += "_"
+    found = found.withColumn(mark, F.sha2("text", 256)).dropDuplicates(["doc_id", mark])
     return found.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 

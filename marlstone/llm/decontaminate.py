@@ -8,8 +8,8 @@ second looks up prefix shingles only, bounds a candidate by its position in
 the window and the document's length, and verifies it word by word.
 
 Documents are never shuffled.  The benchmark goes to the workers in blocks of
-at most `block_bytes` of text, one pass pair each, so a large benchmark costs
-more passes, not more memory.
+about `block_bytes` of text, one pass pair each, so a large benchmark costs
+more passes, not more memory; copies of an item are spread over all blocks.
 """
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ class Index:
             for k in range(max(0, len(ids) - window) + 1) if ids else ():
                 windows[tuple(ids[k : k + window])].add(item)
         self.base = len(self.vocabulary) + 1
-        if self.base**shingle >= 1 << 62:
-            raise ValueError("block_bytes is too large for one code of `shingle` words")
+        while self.base**shingle >= 1 << 62:  # so many words that a code must be of fewer
+            shingle -= 1
         self.windows = [np.array(w, dtype=np.int32) for w in windows]
         self.items = [sorted(x) for x in windows.values()]
         self.sizes = sorted({min(len(w), shingle) for w in windows})
@@ -185,11 +185,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     blocks = -(-int(total) // block_bytes) or 1
     kept = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(_SPANS), "items": F.array().cast("array<long>")})
     for k in range(blocks):
-        own = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        own = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = Index([(r[0], r[1]) for r in own.toLocalIterator()], window, shingle)
         counts = docs.select("text").mapInArrow(_count(index), "size int, place int, n long").groupBy("size", "place").agg(F.sum("n").alias("n"))
         index.order({(r[0], r[1]): r[2] for r in counts.collect()})
         kept = kept.mapInArrow(_mark(index), kept.schema)
+        if k < blocks - 1:  # one Python worker for a task, not one for each block
+            kept = common.stored(kept)
     return kept.withColumn("contaminated", F.size("hit_spans") > 0)
 
 

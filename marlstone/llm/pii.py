@@ -18,7 +18,7 @@ import random
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -117,18 +117,34 @@ def span_features(text: str, start: int, end: int, hint: str) -> tuple[str, ...]
     return tuple(out)
 
 
+def _before(text: str, at: int) -> int:
+    """The start of the last MAX_TOKENS tokens before a place, all of an entity that ends there."""
+    width = 8 * MAX_TOKENS
+    while True:
+        lo = max(0, at - width)
+        starts = [m.start() for m in _TOKEN.finditer(text, lo, at)]
+        if lo == 0 or len(starts) > MAX_TOKENS:  # the first token may be cut off
+            return starts[-MAX_TOKENS] if len(starts) > MAX_TOKENS else 0
+        width *= 4
+
+
+def _after(text: str, at: int) -> int:
+    """The end of the first MAX_TOKENS tokens after a place."""
+    return next(islice((m.end() for m in _TOKEN.finditer(text, at)), MAX_TOKENS - 1, None), len(text))
+
+
 def _regions(text: str):
-    """(start, end) around each trigger; triggers near each other share one."""
+    """(start, end) around each trigger, as far as an entity can reach; regions that touch are one."""
     start = end = None
     for m in _TRIGGER.finditer(text):
-        lo = m.start()
-        hi = min(len(text), m.end() + 60)
+        lo, hi = m.span()
         if m[0] in "@" or m[0][1:-1].lower() == "at":
-            lo = max(0, lo - 60)
+            lo = _before(text, lo) if end is None or lo > end else lo
+            hi = _after(text, hi)
         elif sum("0" <= x <= "9" for x in m[0]) < 7:
             continue
         else:
-            hi = min(len(text), m.end() + 1)
+            hi = min(len(text), hi + 1)
         if end is not None and lo <= end:
             start, end = min(start, lo), max(end, hi)
             continue
@@ -167,7 +183,7 @@ def segments(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], dict[t
             at = at or text[a:b] in ("at", "AT") and j > 0 and text[a - 1] in "[("
             if kind[j] == "s" and letters and not at and text[b : b + 3] not in ("[at", "(at", "[AT", "(AT"):
                 break
-            if kind[j] in "da" and (at if letters else digits >= 7) and digits <= 40:
+            if kind[j] in "da" and (at if letters else digits >= 7):
                 hint = hint or _hint(text, s)
                 found[i, j + 1] = span_features(text, s, b, hint)
     return tokens, found

@@ -34,6 +34,8 @@ from . import common
 
 #: Documents of each class in the fitted sample: toxic, ordinary.
 SAMPLE = (1200, 2400)
+#: Words that a dictionary learns from at most, for each of its bytes: a bound on the sample, as the number of documents is.
+WORDS_PER_BYTE = 50
 #: Size of both dictionaries, round by round: wide at first, then only what tells the classes apart.
 DICTIONARY = (65536, 32768, 16384, 16384)
 SHARED = 65536
@@ -65,7 +67,7 @@ def _content(words: list[bytes], size: int, rng: random.Random) -> bytes:
     """What a dictionary trained on the words holds; all of them where they are too few to train on."""
     words = sorted(words)
     rng.shuffle(words)
-    words = words[: 50 * size]
+    words = words[: WORDS_PER_BYTE * size]
     lines = [b" " + b" ".join(words[k : k + 4]) + b" " for k in range(0, len(words), 4)]
     try:
         return zstandard.train_dictionary(size + 2048, lines, k=16, d=6, level=3).as_bytes()[-size:]
@@ -161,14 +163,17 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    """A model of docs (doc_id, text) and labels (doc_id, toxic), learnt where crc32(doc_id) mod 5 is not 0."""
+    """A model of docs (doc_id, text) and labels (doc_id, toxic), learnt where crc32(doc_id) mod 5 is not 0.
+
+    At most sample[0] toxic and sample[1] ordinary documents reach the driver, the least text of each where a doc_id repeats.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).distinct()
     counts = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
     total = sum(counts.values())
     texts: dict[int, list[str]] = {}
     for k, n in ((1, sample[0]), (0, sample[1])):
         ids = marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id")
-        held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
+        held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         texts[k] = [r[1] for r in sorted(held.collect(), key=lambda r: (r[0], r[1]))]
     return fit(texts[1], texts[0], counts.get(1, 0) / total if total else 0.0)
 
@@ -196,5 +201,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model learnt from the rows that aren't held out."""
     docs, labels = common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels")
     scored = score(docs, fitted(docs, labels))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    # A null doc_id counts as an empty string, whose crc32 is 0: held out.
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -71,7 +71,7 @@ def test_packing_is_gapless_and_whole(spark):
     r = random.Random(3)
     docs = [(k, " ".join("word" for _ in range(r.choice([0, 3, 40, 300, 2100, 5000])))) for k in range(60)] + [(70, None), (None, "a"), (5, "b b"), (5, "b b")]
     pieces = packing.tokenized(frame(spark, docs), *packing.paths())
-    for shard in (50_000, 20):
+    for shard in (50_000, 20, 1):
         out = [x.asDict() for x in packing.pack(pieces, shard_pieces=shard).collect()]
         assert len(out) == pieces.count()
         bins: dict = {}
@@ -89,6 +89,19 @@ def test_packing_is_gapless_and_whole(spark):
     assert [packing.cut(n, 4) for n in (1, 4, 5, 9)] == [[(0, 1)], [(0, 4)], [(0, 1), (1, 4)], [(0, 1), (1, 4), (5, 4)]]
 
 
+def test_full_and_repeated_pieces_are_dealt_out(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "FAN_IN", 3)
+    rows = [(k, 1, 7, 2048, 5) for k in range(200)] + [(1, 0, 0, 30, 9)] * 300 + [(2, 0, 0, 1500, 9)] * 40
+    pieces = common.stored(spark.createDataFrame(rows, packing._PIECES))
+    out = packing.pack(pieces, shard_pieces=17)
+    bins = Counter()
+    for x in out.collect():
+        bins[x.sequence_id] += x.length
+        seen.append((x.doc_id, x.piece, x.start, x.length, x.ids_crc32))
+    assert sorted(seen) == sorted(rows) and max(bins.values()) <= 2048 and len(bins) <= 200 + 40 + 2
+
+
 def test_sum_of_squares_picks_the_least_sum():
     r = random.Random(4)
     sizes = [r.randint(1, 12) for _ in range(200)]
@@ -193,8 +206,8 @@ def test_runs_of_no_alphabet_are_split():
 
 def test_lattice_sums_all_segmentations():
     own = lattice.vocabulary(str(__import__("public_tokenizers").path("piece_bpe_32k.model")))
-    weights = own.weights({})
-    assert abs(sum(10**w for w in weights.values()) - 1) < 1e-9
+    weights, end = own.weights({5: 7}, 3)
+    assert abs(sum(10**w for w in weights.values()) + 10**end - 1) < 1e-9
     model = lattice.Lattice(own, weights)
 
     def brute(text):
@@ -220,7 +233,13 @@ def test_language_model_counts(spark):
     expected = sorted((d, held, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 8)) for d, t, held in own)
     got = lattice.score_texts(frame(spark, docs), path).collect()
     assert sorted((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 8)) for x in got) == expected
-    assert all(x.score < 0 for x in got)
+    # The score by weights counted here: the marginal of each word's segmentations, and the end's weight.
+    own_v = lattice.vocabulary(path)
+    pieces = Counter(k for _, t, held in own if not held for w in t[:-1] for k in own_v.model.encode(w))
+    weights, end = own_v.weights(pieces, c[None])
+    marginal = lattice.Lattice(own_v, weights)
+    expected = sorted((d, round(sum(marginal.score(w) for w in t[:-1]) + end, 8)) for d, t, _ in own)
+    assert sorted((x.doc_id, round(x.score, 8)) for x in got) == expected
     assert lattice.score_texts(frame(spark, []), path).count() == 0
 
 

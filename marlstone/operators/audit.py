@@ -28,6 +28,63 @@ def label_rules(rows: DataFrame, classes: tuple[int, ...] = (0, 1)) -> DataFrame
     return counts.select(F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(hard).alias("hard"), F.col(str(k)).alias("n")) for k, (r, hard) in enumerate(rules)))))
 
 
+def label_violations(rows: DataFrame, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """rule, hard, key, line_no and detail: a row for each rule that a row (key, line_no, cls, cx, cy, w, h) breaks.
+
+    The detail names the class or the fields at fault.  A row with an `error` breaks that rule alone.
+    """
+    fields = ("cx", "cy", "w", "h")
+    named = lambda test, names: F.concat_ws(",", *(F.when(test(F.col(c)), F.lit(c)) for c in names))
+    out = named(lambda x: ~x.between(0, 1) | F.isnan(x), fields)
+    flat = named(lambda x: x <= 0, ("w", "h"))
+    w, h = F.col("w"), F.col("h")
+    found = [
+        ("invalid class", True, ~F.col("cls").isin(*classes), F.col("cls").cast("string")),
+        ("out of range", True, out != "", out),
+        ("degenerate box", True, flat != "", flat),
+        ("tiny box", False, (w > 0) & (h > 0) & (w * h < TINY), F.lit("w,h")),
+    ]
+    rule = lambda name, hard, detail: F.struct(F.lit(name).alias("rule"), F.lit(hard).alias("hard"), detail.alias("detail"))
+    broken = F.array_compact(F.array(*(F.when(test, rule(name, hard, detail)) for name, hard, test, detail in found)))
+    if "error" in rows.columns:
+        broken = F.when(F.col("error").isNotNull(), F.array(rule("unreadable line", True, F.col("error")))).otherwise(broken)
+    return rows.select("key", "line_no", F.inline(broken)).select("rule", "hard", "key", "line_no", "detail")
+
+
+def unknown(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows of ids whose key stands in no row of known."""
+    return ids.join(known.select(key), key, "left_anti").select(key)
+
+
+def uncovered(parts: DataFrame, whole: DataFrame, key: str) -> DataFrame:
+    """Keys that the parts lack of the whole, or have beyond it: none where their union is the whole."""
+    return unknown(whole, parts, key).unionByName(unknown(parts, whole, key))
+
+
+def adds_up(*fractions: Column) -> Column:
+    """Whether fractions of a split add up to one, within a millionth."""
+    return F.abs(sum(fractions[1:], fractions[0]) - 1) <= 1e-6
+
+
+def check_fractions(*fractions: float) -> None:
+    """The same for a job's own parameters."""
+    if abs(sum(fractions) - 1) > 1e-6:
+        raise ValueError(f"fractions add up to {sum(fractions)}, not to 1")
+
+
+def size_warnings(groups: DataFrame, key: str, size: str, *, most: int, scenes: tuple[int, int]) -> DataFrame:
+    """key, size and warning: groups of more than `most`, and with a null key the number of groups where that is outside of scenes."""
+    large = groups.filter(F.col(size) > most).select(key, F.col(size).cast("long").alias(size), F.lit(f"more than {most} in a scene").alias("warning"))
+    odd = groups.agg(F.count("*").alias(size)).filter(~F.col(size).between(*scenes))
+    return large.unionByName(odd.select(F.lit(None).cast("string").alias(key), size, F.lit(f"number of scenes outside {scenes[0]} to {scenes[1]}").alias("warning")))
+
+
+def evaluation_path(path: Column) -> tuple[Column, Column]:
+    """Whether a path holds val or test anywhere, which calibration refuses, and whether a folder of it is named so."""
+    low = F.lower(path)
+    return low.contains("val") | low.contains("test"), F.exists(F.split(low, "/"), lambda x: x.isin("val", "test"))
+
+
 def orphans(a: DataFrame, b: DataFrame, key: str, only_a: str, only_b: str) -> DataFrame:
     """Keys that stand on one side only, with the rule they break."""
     return a.join(b, key, "left_anti").select(key, F.lit(only_a).alias("rule")).unionByName(b.join(a, key, "left_anti").select(key, F.lit(only_b).alias("rule")))
@@ -39,10 +96,10 @@ def gate(violations: DataFrame, name: str) -> DataFrame:
 
 
 def parity(a: DataFrame, b: DataFrame, key: str, tolerance: float) -> DataFrame:
-    """Of a (key, a) and b (key, b): rows, unpaired rows, worst and mean difference, and two gates: passed and paired."""
+    """Of a (key, a) and b (key, b): rows, unpaired rows, worst and mean difference, the least key of the worst, and two gates: passed and paired."""
     both = a.join(b, key, "full").withColumn("d", F.abs(F.col("a") - F.col("b")))
     unpaired = F.count_if(F.col("a").isNull() | F.col("b").isNull())
-    return both.agg(F.count("*").alias("n"), unpaired.alias("n_unpaired"), F.round(F.max("d"), 6).alias("worst"), F.round(F.avg("d"), 6).alias("mean_diff"), (F.max("d") <= tolerance).alias("passed"), (unpaired == 0).alias("paired"))
+    return both.agg(F.count("*").alias("n"), unpaired.alias("n_unpaired"), F.round(F.max("d"), 6).alias("worst"), F.min(F.when(F.col("d").isNotNull(), F.struct((-F.round("d", 6)).alias("o"), key)))[key].alias("worst_key"), F.round(F.avg("d"), 6).alias("mean_diff"), (F.max("d") <= tolerance).alias("passed"), (unpaired == 0).alias("paired"))
 
 
 def verdict(value: Column, bands: list[tuple[float, str]], otherwise: str) -> Column:

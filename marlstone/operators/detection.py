@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import CORNERS, iou_pairs
+from .ranking import before, ranged
+
 
 def grid():
     """The overlap thresholds, 0.50 to 0.95 in steps of 0.05."""
@@ -18,12 +20,18 @@ def best_class(scores: Column) -> tuple[Column, Column]:
     return top, (F.array_position(scores, top) - 1).cast("int")
 
 
-def suppressed(det: DataFrame, *, iou: float = 0.45, score: float | None = None) -> DataFrame:
+def malformed(det: DataFrame) -> DataFrame:
+    """Boxes whose corners are out of order, for audit.gate()."""
+    return det.filter(~((F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2"))))
+
+
+def suppressed(det: DataFrame, *, iou: float = 0.45, score: float | None = None, strict: bool = False) -> DataFrame:
     """Greedy non-maximum suppression by image and class, best score first, ties by det_id.
 
-    A box is kept if its overlap with each kept one is at most iou.  One group is one
+    A box is kept if its overlap with each kept one is at most iou; strict asks for less than iou.  One group is one
     image's detections of a class, which a fold over a sorted array can hold.
     """
+    over = ">=" if strict else ">"
     rows = det if score is None else det.filter(F.col("score") > score)
     box = F.struct((-F.col("score")).alias("o"), "det_id", *CORNERS)
     ordered = rows.groupBy("img", "cls").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
@@ -34,7 +42,7 @@ def suppressed(det: DataFrame, *, iou: float = 0.45, score: float | None = None)
             if(exists(kept, k ->
                 greatest(0D, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0D, least(k.y2, b.y2) - greatest(k.y1, b.y1))
                 / ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
-                   - greatest(0D, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0D, least(k.y2, b.y2) - greatest(k.y1, b.y1)) + 1e-9D) > {iou!r}D),
+                   - greatest(0D, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0D, least(k.y2, b.y2) - greatest(k.y1, b.y1)) + 1e-9D) {over} {iou!r}D),
                kept, concat(kept, array(b))))) AS b""",
     ).select("img", "cls", "b.det_id", (-F.col("b.o")).alias("score"), *(F.col(f"b.{k}") for k in CORNERS))
 
@@ -62,15 +70,26 @@ def matched(gt: DataFrame, det: DataFrame) -> DataFrame:
 def pr_curve(flags: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """flags (keys, score, det_id, tp) with rank, precision, recall and envelope; counts has keys' boxes as n_gt.
 
-    envelope is the largest precision at this rank or later.  Ranks end ties by det_id.
+    envelope is the largest precision at this rank or later.  Ranks end ties by det_id.  Rows are
+    range-partitioned by rank; each partition carries on the counts of those before it
+    and the largest precision of those after it, so no task holds a whole class.
     """
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys).orderBy(F.desc("score"), "det_id").rowsBetween(0, Window.unboundedFollowing)
+    order = [F.desc("score"), F.asc("det_id")]
+    rows = ranged(flags, keys, order)
+    inside = Window.partitionBy("_part", *keys)
+    parts = before(rows.groupBy(*keys, "_part").agg(F.count("*").alias("n"), F.sum("tp").alias("hits")), keys, ["n", "hits"])
+    down = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     on = [k for k in keys if k in counts.columns]
-    ranked = flags.withColumns({"rank": F.count("*").over(down), "hits": F.sum("tp").over(down)}).join(counts, on, "left")
-    ranked = ranked.withColumn("n_gt", F.coalesce("n_gt", F.lit(0)).cast("long"))
-    ranked = ranked.withColumns({"precision": F.col("hits") / F.col("rank"), "recall": F.try_divide(F.col("hits"), F.col("n_gt"))})
-    return ranked.withColumn("envelope", F.max("precision").over(up))
+    own = rows.withColumns({"rank": F.count("*").over(down), "hits": F.sum("tp").over(down)}).join(parts, [*keys, "_part"])
+    own = own.withColumns({"rank": F.col("rank") + F.col("_n"), "hits": F.col("hits") + F.col("_hits")}).join(counts, on, "left")
+    own = own.withColumn("n_gt", F.coalesce("n_gt", F.lit(0)).cast("long"))
+    own = own.withColumns({"precision": F.col("hits") / F.col("rank"), "recall": F.try_divide(F.col("hits"), F.col("n_gt"))})
+    later = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    after = own.groupBy(*keys, "_part").agg(F.max("precision").alias("p")).select(*keys, "_part", F.max("p").over(later).alias("_after"))
+    # From the last rank to the first a running maximum: one pass, where a frame to the end would be one for each row.
+    up = inside.orderBy(F.asc("score"), F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0)
+    out = own.withColumn("envelope", F.max("precision").over(up)).join(after, [*keys, "_part"])
+    return out.withColumn("envelope", F.greatest("envelope", "_after")).drop("_part", "_n", "_hits", "_after")
 
 
 def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,12 +98,16 @@ def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
     return curve.groupBy(*keys).agg(F.coalesce(F.try_divide(total, F.max("n_gt")), F.lit(0.0)).alias("ap"))
 
 
-def best_f1(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """Precision and recall where 2pr / (p + r + 1e-9) is largest, the first rank of such."""
+def best_f1(curve: DataFrame, keys: list[str], every: DataFrame | None = None) -> DataFrame:
+    """Precision and recall where 2pr / (p + r + 1e-9) is largest, the first rank of such.
+
+    `every` has a row for each of the keys; those without detections have zeros.
+    """
     p, r = F.col("precision"), F.coalesce("recall", F.lit(0.0))
     scored = curve.withColumns({"recall": r, "f1": 2 * p * r / (p + r + F.lit(1e-9))})
     top = F.min(F.struct((-F.col("f1")).alias("o"), "rank", "precision", "recall"))
-    return scored.groupBy(*keys).agg(top.alias("t")).select(*keys, F.col("t.precision").alias("precision"), F.col("t.recall").alias("recall"), (-F.col("t.o")).alias("f1"))
+    best = scored.groupBy(*keys).agg(top.alias("t")).select(*keys, F.col("t.precision").alias("precision"), F.col("t.recall").alias("recall"), (-F.col("t.o")).alias("f1"))
+    return best if every is None else every.select(*keys).distinct().join(best, keys, "left").na.fill(0.0, ["precision", "recall", "f1"])
 
 
 def misses(gt: DataFrame, det: DataFrame, thr: float = 0.5) -> tuple[DataFrame, DataFrame]:

@@ -37,6 +37,11 @@ def to_letterbox(x: Column, pad: Column, gain: Column) -> Column:
     return x * gain + pad
 
 
+def flipped(cx: Column) -> Column:
+    """The centre of a box, as a share of the width, in the image mirrored left to right."""
+    return 1 - cx
+
+
 def resized(w: Column, h: Column, long_edge: int) -> tuple[Column, Column]:
     """Sides after shrinking the longer one to long_edge; smaller images stay."""
     scale = F.lit(float(long_edge)) / F.greatest(w, h)
@@ -64,3 +69,22 @@ def iou_pairs(gt: DataFrame, det: DataFrame, least: float | None = None) -> Data
     meets = (F.col("g_x1") < F.col("d_x2")) & (F.col("d_x1") < F.col("g_x2")) & (F.col("g_y1") < F.col("d_y2")) & (F.col("d_y1") < F.col("g_y2"))
     out = g.join(d, ["img", "cls"]).filter(meets).select("img", "cls", "gt_id", "det_id", "score", iou("g_", "d_").alias("iou"))
     return out if least is None else out.filter(F.col("iou") >= least)
+
+
+def outside(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points (img, x, y) that lie in no box of their image; a border is inside."""
+    b = boxes.select(F.col("img").alias("_img"), *(F.col(k).alias(f"_{k}") for k in CORNERS))
+    inside = (F.col("img") == F.col("_img")) & F.col("x").between(F.col("_x1"), F.col("_x2")) & F.col("y").between(F.col("_y1"), F.col("_y2"))
+    return points.join(b, inside, "left_anti")
+
+
+def reconciled(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
+    """For each box of a (img, cls, gt_id) the box of b (img, cls, det_id) in its image whose corners differ least, ties to the smaller id.
+
+    gt_id, det_id, cls, other_cls, diff (the largest difference of a corner) and close, whether that is within tolerance;
+    a box without any in its image keeps its row.
+    """
+    other = b.select("img", "det_id", F.col("cls").alias("other_cls"), *(F.col(k).alias(f"_{k}") for k in CORNERS))
+    diff = F.greatest(*(F.abs(F.col(k) - F.col(f"_{k}")) for k in CORNERS))
+    best = a.join(other, "img", "left").groupBy("gt_id", "cls").agg(F.min(F.when(F.col("det_id").isNotNull(), F.struct(diff.alias("diff"), "det_id", "other_cls"))).alias("m"))
+    return best.select("gt_id", "m.det_id", "cls", "m.other_cls", "m.diff", F.coalesce(F.col("m.diff") <= tolerance, F.lit(False)).alias("close"))

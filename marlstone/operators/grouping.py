@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import similarity
+from .ranking import ranked
+from .storage import kept
+
+#: Groups that greedy_split folds in one task at most; splits are by scenes, sites or sources, not by rows.
+MOST_GROUPS = 20_000
 
 
 def seeded(key: Column | str, seed: int = 42) -> Column:
@@ -28,11 +32,16 @@ def sessions(df: DataFrame, key: str, order: list[str], seconds: str, gap: float
 
 def fraction_split(groups: DataFrame, key: str, train: float, val: float, seed: int = 42, order: Column | None = None) -> DataFrame:
     """groups with a split by seeded rank: round(n * train) of them, round(n * val), the rest test; halves to even."""
-    w = Window.orderBy(seeded(key, seed) if order is None else order, key)
     n = groups.count()
     a, b = round(n * train), round(n * val)
-    at = F.row_number().over(w)
-    return groups.withColumn("split", F.when(at <= a, "train").when(at <= a + b, "val").otherwise("test"))
+    at = F.col("_rank")
+    rows = ranked(groups.withColumn("_order", seeded(key, seed) if order is None else order), [], [F.asc("_order"), F.asc(key)], "_rank")
+    return rows.withColumn("split", F.when(at <= a, "train").when(at <= a + b, "val").otherwise("test")).drop("_rank", "_order")
+
+
+def file_split(files: DataFrame, key: str, val: float, seed: int = 42) -> DataFrame:
+    """files with a split of their own, whatever group they belong to: round(n * val) of them in seeded order are val, the rest train."""
+    return fraction_split(files, key, 0.0, val, seed).withColumn("split", F.when(F.col("split") == "val", "val").otherwise("train"))
 
 
 def reserved_split(groups: DataFrame, held: DataFrame, key: str, train: float, val: float, seed: int = 42) -> DataFrame:
@@ -46,8 +55,10 @@ def greedy_split(groups: DataFrame, key: str, size: str, test: float, val: float
     """key, size and split: largest groups first, each to the split it fits whose deficit is largest, else to train.
 
     A group fits if the deficit is positive and its size at most that plus a tenth of the
-    target; equal deficits go to test.  One fold over the list of groups, in seeded order.
+    target; equal deficits go to test.  One fold over the list of groups, in seeded order, of MOST_GROUPS at most.
     """
+    if (n := groups.count()) > MOST_GROUPS:
+        raise ValueError(f"{n} groups are more than one fold holds ({MOST_GROUPS})")
     order = seeded(key, seed) if order is None else order
     listed = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("o"), order.alias("r"), F.col(key).alias("k")))).alias("g"), F.sum(size).cast("double").alias("n"))
     fits = "(a.{0} > 0 AND -x.o <= a.{0} + 0.1D * {1})"
@@ -83,8 +94,8 @@ def first_fit(items: DataFrame, threshold: float, fold: int = FOLD) -> DataFrame
         last = left.select("id").orderBy("id").limit(fold).agg(F.max("id")).first()[0]
         if last is None:
             return left.select("id", F.col("id").alias("rep")) if done is None else done
-        folded = similarity._kept(left.filter(F.col("id") <= last).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("g")).selectExpr(f"{step} AS a"))
-        later = similarity._kept(left.filter(F.col("id") > last).crossJoin(F.broadcast(folded)).selectExpr("id", "v", f"{joined} AS rep"))
+        folded = kept(left.filter(F.col("id") <= last).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("g")).selectExpr(f"{step} AS a"))
+        later = kept(left.filter(F.col("id") > last).crossJoin(F.broadcast(folded)).selectExpr("id", "v", f"{joined} AS rep"))
         out = folded.selectExpr("inline(a.out)").unionByName(later.filter("rep IS NOT NULL").select("id", "rep"))
         done = out if done is None else done.unionByName(out)
         left = later.filter("rep IS NULL").select("id", "v")

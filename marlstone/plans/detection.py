@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detection
+from ..operators import audit, detection, geometry
 from ..operators.geometry import iou_pairs
-from .common import BOXES, boxes, table
+from .common import BOXES, boxes, e, table
 
 
 def q_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,38 @@ def q_decode_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 def q_nms(spark: SparkSession, d: str) -> DataFrame:
     _, det = boxes(spark, d)
-    return detection.suppressed(det, iou=0.45).select("img", "cls", "det_id")
+    return detection.suppressed(det, iou=0.45, score=0.01).select("img", "cls", "det_id")
+
+
+def q_strict_nms(spark: SparkSession, d: str) -> DataFrame:
+    """Suppression where only an overlap below the threshold survives; det_id is the row's own number."""
+    _, det = boxes(spark, d)
+    return detection.suppressed(det, iou=0.3, strict=True).select("cls", "det_id", F.round("score", 6).alias("score"))
+
+
+def q_malformed_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes must have their corners in order; those whose jittered side turned negative have not."""
+    gt, det = boxes(spark, d)
+    return audit.gate(detection.malformed(gt), "ground truth").unionByName(audit.gate(detection.malformed(det), "detections"))
+
+
+def q_outside_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of detections that lie in no box of their image, of either class."""
+    gt, det = boxes(spark, d)
+    points = det.select("img", "det_id", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    return geometry.outside(points, gt).select("img", "det_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def q_nearest_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """Each box with the detection of its image whose corners are nearest, whatever its class: the classes that two exports call alike."""
+    gt, det = boxes(spark, d)
+    return geometry.reconciled(gt, det, 12.0).select("gt_id", "det_id", "cls", "other_cls", F.round("diff", 6).alias("diff"), "close")
+
+
+def q_flip(spark: SparkSession, d: str) -> DataFrame:
+    """Centre boxes of images that are mirrored left to right."""
+    v = table(spark, d, "embeddings")
+    return v.select("vec_id", F.round(geometry.flipped(0.5 + 2 * e(1)), 9).alias("cx"), F.round(0.5 + 2 * e(2), 9).alias("cy"))
 
 
 def q_suppression_monitor(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +94,8 @@ def q_ap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_best_f1(spark: SparkSession, d: str) -> DataFrame:
-    best = detection.best_f1(detection.pr_curve(*_label_flags(spark, d), ["cls"]), ["cls"])
+    flags, counts = _label_flags(spark, d)
+    best = detection.best_f1(detection.pr_curve(flags, counts, ["cls"]), ["cls"], counts)
     return best.select("cls", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
 
 
@@ -82,12 +114,13 @@ def q_map(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
-_KEPT = """ord AS (SELECT *, row_number() OVER (PARTITION BY img, cls ORDER BY score DESC, det_id) AS k FROM det),
+_KEPT = """ord AS (SELECT *, row_number() OVER (PARTITION BY img, cls ORDER BY score DESC, det_id) AS k FROM det WHERE {least}),
 o AS (SELECT a.img, a.cls, a.k AS i, b.k AS j, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba FROM ord a JOIN ord b ON a.img = b.img AND a.cls = b.cls AND a.k < b.k),
-hide AS (SELECT img, cls, j, list(i) AS by FROM o WHERE inter / (aa + ba - inter + 1e-9) > 0.45 GROUP BY ALL),
+hide AS (SELECT img, cls, j, list(i) AS by FROM o WHERE inter / (aa + ba - inter + 1e-9) {over}::DOUBLE GROUP BY ALL),
 step AS (SELECT img, cls, 0::BIGINT AS k, []::BIGINT[] AS kept, max(k) AS n FROM ord GROUP BY img, cls
   UNION ALL SELECT s.img, s.cls, s.k + 1, CASE WHEN h.by IS NULL OR NOT list_has_any(h.by, s.kept) THEN list_append(s.kept, s.k + 1) ELSE s.kept END, n FROM step s LEFT JOIN hide h ON h.img = s.img AND h.cls = s.cls AND h.j = s.k + 1 WHERE s.k < s.n),
 nms AS (SELECT ord.img, ord.cls, det_id FROM step JOIN ord ON ord.img = step.img AND ord.cls = step.cls AND list_contains(kept, ord.k) WHERE step.k = step.n)"""
+_LOOSE = _KEPT.replace("{least}", "true").replace("{over}", "> 0.45")
 _MATCH = """opt AS (SELECT img, cls, det_id, max(score) AS score, list_sort(list({'iou': iou, 'g': gt_id}), 'DESC') AS options FROM pairs WHERE iou >= 0.5 GROUP BY ALL),
 ord AS (SELECT *, row_number() OVER (PARTITION BY img, cls ORDER BY score DESC, det_id) AS k FROM opt),
 thr AS (SELECT 0.5::DOUBLE + i * 0.05::DOUBLE AS thr FROM range(10) t(i)),
@@ -103,8 +136,13 @@ _DOCS = _FLAGS + ", " + _CURVE.format(keys="f.cls").replace("(PARTITION BY f.cls
 ORACLES = {
     "q_iou_pairs": f"WITH {BOXES} SELECT img, cls, gt_id, det_id, round(iou, 9) AS iou FROM pairs",
     "q_decode_argmax": "WITH s AS (SELECT vec_id, list_transform(embedding[5:12], lambda x: x::DOUBLE) AS s FROM embeddings) SELECT vec_id, (list_position(s, list_max(s)) - 1)::INT AS cls, list_max(s) AS score FROM s WHERE list_max(s) >= 0.1::DOUBLE",
-    "q_nms": f"WITH RECURSIVE {BOXES}, {_KEPT} SELECT img, cls, det_id FROM nms",
-    "q_suppression_monitor": f"WITH RECURSIVE {BOXES}, {_KEPT}, r AS (SELECT img, count(*) AS n_before FROM det GROUP BY 1), q AS (SELECT img, count(*) AS n_after FROM nms GROUP BY 1), z AS (SELECT r.img, n_before, n_after, n_after::DOUBLE / n_before AS ratio FROM r JOIN q ON r.img = q.img) SELECT img, n_before, n_after, round(ratio, 6) AS ratio, abs(ratio - (SELECT avg(ratio) FROM z)) > 1.5::DOUBLE * (SELECT stddev_samp(ratio) FROM z) AS alert FROM z",
+    "q_nms": f"WITH RECURSIVE {BOXES}, {_LOOSE.replace('true', 'score > 0.01::DOUBLE')} SELECT img, cls, det_id FROM nms",
+    "q_strict_nms": f"WITH RECURSIVE {BOXES}, {_KEPT.replace('{least}', 'true').replace('{over}', '>= 0.3')} SELECT nms.cls, nms.det_id, round(det.score, 6) AS score FROM nms JOIN det ON det.det_id = nms.det_id",
+    "q_malformed_gate": f"WITH {BOXES} SELECT 'ground truth' AS gate, count(*) = 0 AS passed, count(*) AS n_violations FROM gt WHERE NOT (x1 <= x2 AND y1 <= y2) UNION ALL SELECT 'detections', count(*) = 0, count(*) FROM det WHERE NOT (x1 <= x2 AND y1 <= y2)",
+    "q_outside_boxes": f"WITH {BOXES}, p AS (SELECT img, det_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM det) SELECT img, det_id, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE NOT EXISTS (SELECT 1 FROM gt WHERE gt.img = p.img AND p.x BETWEEN gt.x1 AND gt.x2 AND p.y BETWEEN gt.y1 AND gt.y2)",
+    "q_nearest_reconcile": f"WITH {BOXES}, x AS (SELECT g.gt_id, d.det_id, g.cls, d.cls AS other_cls, greatest(abs(g.x1 - d.x1), abs(g.y1 - d.y1), abs(g.x2 - d.x2), abs(g.y2 - d.y2)) AS diff FROM gt g LEFT JOIN det d ON g.img = d.img), r AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY diff, det_id) AS k FROM x) SELECT gt_id, det_id, cls, other_cls, round(diff, 6) AS diff, coalesce(diff <= 12.0::DOUBLE, false) AS close FROM r WHERE k = 1",
+    "q_flip": "SELECT vec_id, round(1 - (0.5 + 2 * embedding[1]::DOUBLE), 9) AS cx, round(0.5 + 2 * embedding[2]::DOUBLE, 9) AS cy FROM embeddings",
+    "q_suppression_monitor": f"WITH RECURSIVE {BOXES}, {_LOOSE}, r AS (SELECT img, count(*) AS n_before FROM det GROUP BY 1), q AS (SELECT img, count(*) AS n_after FROM nms GROUP BY 1), z AS (SELECT r.img, n_before, n_after, n_after::DOUBLE / n_before AS ratio FROM r JOIN q ON r.img = q.img) SELECT img, n_before, n_after, round(ratio, 6) AS ratio, abs(ratio - (SELECT avg(ratio) FROM z)) > 1.5::DOUBLE * (SELECT stddev_samp(ratio) FROM z) AS alert FROM z",
     "q_miss_fp_rank": f"WITH {BOXES}, h AS (SELECT * FROM pairs WHERE iou >= 0.5::DOUBLE), e AS (SELECT img, 1 AS m, 0 AS f FROM gt WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.gt_id = gt.gt_id) UNION ALL SELECT img, 0, 1 FROM det WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.det_id = det.det_id)) SELECT img, sum(m)::BIGINT AS misses, sum(f)::BIGINT AS false_positives, (sum(m) + sum(f))::BIGINT AS errors FROM e GROUP BY 1 ORDER BY errors DESC, misses DESC, false_positives DESC, img DESC LIMIT 5",
     "q_greedy_match": f"WITH RECURSIVE {BOXES}, {_MATCH} SELECT det_id, img, cls, round(thr, 2) AS thr, tp FROM flags",
     "q_pr_curve": f"WITH {_DOCS} SELECT cls, rank, det_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(envelope, 9) AS envelope FROM cv",

@@ -9,13 +9,22 @@ from ..functions import statistics
 from ..operators import audit, geometry, grouping
 from .common import e, table
 
+#: Borders of the shares of an image that a box may cover.
 EDGES = (0.0, 0.001, 0.005, 0.01, 0.05, 0.10, 0.25, 1.01)
 
 
 def q_label_qa(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    rows = v.select((F.col("label") % 3).alias("cls"), (0.5 + 2 * e(1)).alias("cx"), (0.5 + 2 * e(2)).alias("cy"), (0.2 + e(3)).alias("w"), (0.2 + e(4)).alias("h"))
-    return audit.label_rules(rows)
+    return audit.label_rules(_label_rows(v))
+
+
+def _label_rows(v: DataFrame) -> DataFrame:
+    return v.select(F.expr("vec_id div 16").alias("key"), (F.col("vec_id") % 16 + 1).alias("line_no"), (F.col("label") % 3).alias("cls"), (0.5 + 2 * e(1)).alias("cx"), (0.5 + 2 * e(2)).alias("cy"), (0.2 + e(3)).alias("w"), (0.2 + e(4)).alias("h"))
+
+
+def q_label_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Each broken rule with the file and line that breaks it."""
+    return audit.label_violations(_label_rows(table(spark, d, "embeddings")))
 
 
 def q_orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +116,8 @@ def q_dims_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 def q_parity_diff(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
-    a, b = own.select("key", (F.col("cents") / 100).alias("a")), own.select("key", F.round(F.col("cents") / 100).alias("b"))
+    other = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key")).join(own, "key").filter(F.col("cents") > 0)
+    a, b = own.select("key", (F.col("cents") / 100).alias("a")), other.select("key", F.round(F.col("cents") / 100).alias("b"))
     return audit.parity(a, b, "key", 0.45)
 
 
@@ -132,7 +142,7 @@ def q_name_parse(spark: SparkSession, d: str) -> DataFrame:
     part = lambda k: F.regexp_extract("url", r"^(https?)://([^/]+)/([a-z]{2})/([0-9]+)", k)
     number = F.expr("try_cast(nullif(regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 4), '') AS BIGINT)")
     ms = number % 86400000
-    return p.select("page_id", part(1).alias("scheme"), part(2).alias("host"), part(3).alias("lang"), number.alias("number"), F.format_string("%02d:%02d:%02d", F.expr("1"), F.lit(0), F.lit(0)).alias("_t"), ms.alias("ms")).drop("_t").withColumn("clock", F.format_string("%02d:%02d.%03d", (F.col("ms") / 60000).cast("int") % 60, (F.col("ms") / 1000).cast("int") % 60, F.col("ms") % 1000))
+    return p.select("page_id", part(1).alias("scheme"), part(2).alias("host"), part(3).alias("lang"), number.alias("number"), ms.alias("ms")).withColumn("clock", F.format_string("%02d:%02d.%03d", (F.col("ms") / 60000).cast("int") % 60, (F.col("ms") / 1000).cast("int") % 60, F.col("ms") % 1000))
 
 
 def q_drift_rolling(spark: SparkSession, d: str) -> DataFrame:
@@ -172,14 +182,16 @@ def q_low_conf_rate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}
 
-_QA = "r AS (SELECT label % 3 AS cls, 0.5 + 2 * embedding[1]::DOUBLE AS cx, 0.5 + 2 * embedding[2]::DOUBLE AS cy, 0.2 + embedding[3]::DOUBLE AS w, 0.2 + embedding[4]::DOUBLE AS h FROM embeddings)"
+_QA = "r AS (SELECT vec_id // 16 AS key, vec_id % 16 + 1 AS line_no, label % 3 AS cls, 0.5 + 2 * embedding[1]::DOUBLE AS cx, 0.5 + 2 * embedding[2]::DOUBLE AS cy, 0.2 + embedding[3]::DOUBLE AS w, 0.2 + embedding[4]::DOUBLE AS h FROM embeddings)"
 _BINS = ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))
 _DAILY = "d AS (SELECT event_type AS key, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, sum(round(value * 1e6)::BIGINT)::DOUBLE / count(*) / 1e6 AS x FROM events GROUP BY ALL), b AS (SELECT key, avg(x) AS m, stddev_samp(x) AS sd FROM d WHERE day < 10 GROUP BY key)"
 
 ORACLES = {
     "q_label_qa": f"""WITH {_QA}, f AS (SELECT cls NOT IN (0, 1) AS a, NOT (cx BETWEEN 0 AND 1 AND cy BETWEEN 0 AND 1 AND w BETWEEN 0 AND 1 AND h BETWEEN 0 AND 1) AS b, (w <= 0 OR h <= 0) AS c, (w > 0 AND h > 0 AND w * h < 0.001) AS t FROM r)
         SELECT 'invalid class' AS rule, true AS hard, count(*) FILTER (a) AS n FROM f UNION ALL SELECT 'out of range', true, count(*) FILTER (b) FROM f UNION ALL SELECT 'degenerate box', true, count(*) FILTER (c) FROM f UNION ALL SELECT 'tiny box', false, count(*) FILTER (t) FROM f""",
-    "q_orphans": "WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, 'document without label' AS rule FROM a WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'label without document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM a)",
+    "q_label_violations": f"""WITH {_QA}, f AS (SELECT key, line_no, cls, w, h, concat_ws(',', CASE WHEN cx NOT BETWEEN 0 AND 1 THEN 'cx' END, CASE WHEN cy NOT BETWEEN 0 AND 1 THEN 'cy' END, CASE WHEN w NOT BETWEEN 0 AND 1 THEN 'w' END, CASE WHEN h NOT BETWEEN 0 AND 1 THEN 'h' END) AS outside, concat_ws(',', CASE WHEN w <= 0 THEN 'w' END, CASE WHEN h <= 0 THEN 'h' END) AS flat FROM r)
+        SELECT 'invalid class' AS rule, true AS hard, key, line_no, cls::VARCHAR AS detail FROM f WHERE cls NOT IN (0, 1) UNION ALL SELECT 'out of range', true, key, line_no, outside FROM f WHERE outside <> '' UNION ALL SELECT 'degenerate box', true, key, line_no, flat FROM f WHERE flat <> '' UNION ALL SELECT 'tiny box', false, key, line_no, 'w,h' FROM f WHERE w > 0 AND h > 0 AND w * h < 0.001""",
+    "q_orphans": "WITH a AS (SELECT doc_id FROM documents) SELECT doc_id, 'document without label' AS rule FROM a WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'label without document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM a)",
     "q_area_hist": f"WITH b(bin, lo, hi) AS (VALUES {_BINS}), x AS (SELECT l_discount * l_tax AS area FROM lineitem) SELECT bin::INT AS bin, lo, hi, count(area) AS n FROM b LEFT JOIN x ON area >= lo AND area < hi GROUP BY ALL",
     "q_items_per_group": "SELECT count(*) AS n_groups, round(avg(c), 6) AS mean_items, min(c) AS min_items, max(c) AS max_items FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey)",
     "q_split_class_pivot": "WITH s AS (SELECT *, substr(md5('42:' || event_id), 1, 1) AS f FROM events) SELECT CASE WHEN f < 'b' THEN 'train' WHEN f < 'd' THEN 'val' ELSE 'test' END AS split, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in ("click", "purchase", "scroll", "signup", "view")) + ", count(*) FILTER (event_type NOT IN ('click', 'purchase', 'scroll', 'signup', 'view')) AS n_other FROM s GROUP BY 1",
@@ -198,7 +210,7 @@ ORACLES = {
         round(abs(((x * gain + pad_w) - "left") / (new_w / w) - x), 6) AS x_drift, round(abs(((y * gain + pad_h) - top) / (new_h / h) - y), 6) AS y_drift FROM q""",
     "q_resized": "WITH p AS (SELECT p_partkey, p_size * 61 AS w, (p_partkey % 900 + 100)::INT AS h FROM part), s AS (SELECT *, 1280::DOUBLE / greatest(w, h) AS sc FROM p) SELECT p_partkey, CASE WHEN sc < 1 THEN round_even(w * sc, 0)::INT ELSE w::INT END AS new_w, CASE WHEN sc < 1 THEN round_even(h * sc, 0)::INT ELSE h END AS new_h, CASE WHEN h >= w THEN 'portrait' ELSE 'landscape' END AS orientation FROM s",
     "q_dims_mismatch": "SELECT count(*) AS n_rows, count(*) FILTER (d.text IS NULL) AS n_missing, count(*) FILTER (length(d.text) <> d.n_chars) AS n_mismatch FROM labels l LEFT JOIN documents d USING (doc_id)",
-    "q_parity_diff": "WITH o AS (SELECT l_suppkey, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE AS c FROM lineitem GROUP BY 1), x AS (SELECT abs(c / 100 - round(c / 100)) AS d FROM o) SELECT count(*) AS n, 0::BIGINT AS n_unpaired, round(max(d), 6) AS worst, round(avg(d), 6) AS mean_diff, max(d) <= 0.45 AS passed, true AS paired FROM x",
+    "q_parity_diff": "WITH o AS (SELECT l_suppkey, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE AS c FROM lineitem GROUP BY 1), x AS (SELECT l_suppkey, abs(c / 100 - b) AS d FROM o LEFT JOIN (SELECT s_suppkey, round(c / 100) AS b FROM supplier JOIN o ON l_suppkey = s_suppkey WHERE c > 0) p ON p.s_suppkey = o.l_suppkey) SELECT count(*) AS n, count(*) FILTER (d IS NULL) AS n_unpaired, round(max(d), 6) AS worst, (SELECT l_suppkey FROM x WHERE d IS NOT NULL ORDER BY round(d, 6) DESC, l_suppkey LIMIT 1) AS worst_key, round(avg(d), 6) AS mean_diff, max(d) <= 0.45 AS passed, count(*) FILTER (d IS NULL) = 0 AS paired FROM x",
     "q_rank_parity": "WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS rank FROM events), a AS (SELECT user_id, rank, value AS a FROM r WHERE event_type = 'click'), b AS (SELECT user_id, rank, value AS b FROM r WHERE event_type = 'view'), j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, a, b FROM a FULL JOIN b ON a.user_id = b.user_id AND a.rank = b.rank) SELECT user_id, count(a) AS n_a, count(b) AS n_b, CASE WHEN count(a) = count(b) THEN round(max(abs(a - b)), 6) ELSE 'Infinity'::DOUBLE END AS worst FROM j GROUP BY 1",
     "q_reconcile": "WITH l AS (SELECT l_orderkey, sum(round(l_extendedprice * (1 - l_discount) * 100)::BIGINT)::DOUBLE AS c FROM lineitem GROUP BY 1), j AS (SELECT o_totalprice AS t, c, abs(o_totalprice - c / 100) AS d FROM orders LEFT JOIN l ON o_orderkey = l_orderkey) SELECT count(*) AS n_orders, count(*) FILTER (c IS NULL) AS n_unmatched, count(*) FILTER (d <= 0.01::DOUBLE * t) AS n_close, round(min(d), 4) AS least_diff, round(max(d), 4) AS most_diff FROM j",
     "q_name_parse": r"WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 2) AS host, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 3) AS lang, try_cast(nullif(regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 4), '') AS BIGINT) AS number FROM pages) SELECT *, number % 86400000 AS ms, CASE WHEN number IS NULL THEN 'null:null.null' ELSE lpad((((number % 86400000) // 60000) % 60)::VARCHAR, 2, '0') || ':' || lpad((((number % 86400000) // 1000) % 60)::VARCHAR, 2, '0') || '.' || lpad(((number % 86400000) % 1000)::VARCHAR, 3, '0') END AS clock FROM p",

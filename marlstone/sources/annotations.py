@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Image suffixes, and the columns of the CSV export.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
 CSV_SCHEMA = "label_name string, bbox_x int, bbox_y int, bbox_width int, bbox_height int, image_name string, image_width int, image_height int"
-VOC_SCHEMA = "filename string, size struct<width:bigint,height:bigint,depth:bigint>, object array<struct<name:string,bndbox:struct<xmin:bigint,ymin:bigint,xmax:bigint,ymax:bigint>>>"
+VOC_SCHEMA = "filename string, size struct<width:bigint,height:bigint,depth:bigint>, object array<struct<name:string,pose:string,truncated:int,difficult:int,bndbox:struct<xmin:bigint,ymin:bigint,xmax:bigint,ymax:bigint>>>"
 
 
 def stem(path: Column) -> Column:
@@ -55,10 +55,17 @@ def csv_boxes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=CSV_SCHEMA)
 
 
+def csv_dimensions(spark: SparkSession, path: str) -> DataFrame:
+    """image_name, image_width and image_height, those of an image's last row in file order, and n_sizes, how many different ones it has."""
+    rows = csv_boxes(spark, path).select("image_name", "image_width", "image_height", F.monotonically_increasing_id().alias("at"))
+    last = rows.groupBy("image_name").agg(F.max(F.struct("at", "image_width", "image_height")).alias("m"), F.count_distinct("image_width", "image_height").alias("n_sizes"))
+    return last.select("image_name", "m.image_width", "m.image_height", "n_sizes")
+
+
 def voc_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """filename, width, height, name and corners: a row for each object."""
+    """filename, width, height, name, pose, truncated, difficult and corners: a row for each object."""
     rows = spark.read.format("xml").option("rowTag", "annotation").schema(VOC_SCHEMA).load(path)
-    return rows.select("filename", "size.width", "size.height", F.explode("object").alias("o")).select("filename", "width", "height", "o.name", "o.bndbox.*")
+    return rows.select("filename", "size.width", "size.height", F.explode("object").alias("o")).select("filename", "width", "height", "o.name", "o.pose", "o.truncated", "o.difficult", "o.bndbox.*")
 
 
 def scene_map(spark: SparkSession, path: str) -> DataFrame:
@@ -80,9 +87,19 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def mismatched(hashes: DataFrame, expected: DataFrame) -> DataFrame:
+    """Files of hashes (path, sha256) that expected (path, sha256) knows otherwise, and expected ones that are missing, for audit.gate()."""
+    want = expected.select("path", F.col("sha256").alias("wanted"))
+    return want.join(hashes.select("path", "sha256"), "path", "left").filter(~F.col("sha256").eqNullSafe(F.col("wanted")))
+
+
+#: Fixed value: how cameras name a picture by the time it was taken.
+_TAKEN = r"^IMG_(\d{8})_(\d{2})(\d{2})(\d{2})(\d{3})"
+
+
 def capture_ms(name: Column) -> Column:
     """Milliseconds of the day from a name such as IMG_20260901_145008700, null for others."""
-    part = lambda k: F.expr("1") * F.regexp_extract(name, r"^IMG_(\d{8})_(\d{2})(\d{2})(\d{2})(\d{3})", k).try_cast("bigint")
+    part = lambda k: F.expr("1") * F.regexp_extract(name, _TAKEN, k).try_cast("bigint")
     return ((part(2) * 60 + part(3)) * 60 + part(4)) * 1000 + part(5)
 
 
@@ -99,3 +116,16 @@ def markdown(df: DataFrame, order: list[str]) -> DataFrame:
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
     listed = df.select(F.struct(*order, cells.alias("_line")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
     return listed.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["_line"]), "\n")).alias("report"))
+
+
+def write_splits(rows: DataFrame, path: str) -> None:
+    """Rows with a `split`, in one folder for each split; split=train and so on are read back as a column."""
+    rows.write.partitionBy("split").parquet(path)
+
+
+def scene_map_json(rows: DataFrame, validated_by: str | None = None, reviewed: bool | None = None) -> DataFrame:
+    """One row, scene_map: rows (scene, image_name) as the JSON that scene_map() reads; of a size that people review."""
+    scenes = rows.groupBy("scene").agg(F.sort_array(F.collect_set("image_name")).alias("names"))
+    listed = scenes.agg(F.sort_array(F.collect_list(F.struct("scene", "names"))).alias("s"))
+    told = [F.lit(x).alias(k) for k, x in (("validated_by", validated_by), ("reviewed", reviewed)) if x is not None]
+    return listed.select(F.to_json(F.struct(*told, F.size("s").alias("n_clusters"), F.map_from_entries("s").alias("scenes"))).alias("scene_map"))

@@ -124,7 +124,8 @@ def test_first_fit_takes_the_whole_table(spark, tmp_path):
     r = random.Random(3)
     vectors = {k: [r.gauss(0, 1) for _ in range(8)] for k in r.sample(range(1000), 230)}
     spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    units = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, v in vectors.items()}
+    centred = {k: [x - sum(v) / 8 for x in v] for k, v in vectors.items()}
+    units = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, v in centred.items()}  # dot products are correlations
     brute, founders = {}, []
     for k in sorted(units):
         brute[k] = next((f for f in founders if sum(a * b for a, b in zip(units[f], units[k], strict=True)) > 0.25), k)

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder of its own, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/marlstone"
+from ..operators.storage import kept as stored
+
+__all__ = ["bounded_batches", "encoded", "of_kind", "stored", "table", "words", "worker_state"]
 
 #: Rows in one Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
@@ -31,20 +31,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a local one where unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lost executors lose nothing, and nothing is computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    writer = df.write.mode("error").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def encoded(text: str | None) -> bytes:
     """UTF-8; lone surrogates, which Spark cannot hold, would become question marks."""
     return (text or "").encode("utf-8", "replace")

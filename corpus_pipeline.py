@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that of least doc_id."""
+    """One document of each class: that of least doc_id; rows that share it but not their text all stay."""
     return neardup.one_of_each(docs)
 
 
@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: None: neither compression distances nor alignments have a form in SQL. No test runs the stages joined.
+#: None: neither compression distances nor alignments have a form in SQL; tests hold each stage against a plain version, and run them joined.
 ORACLE_SQL = None
 
 

@@ -32,11 +32,11 @@ def equal_width(df: DataFrame, column: str, lo: float, hi: float, n: int) -> Dat
 def latency(df: DataFrame, key: str, ms: str) -> DataFrame:
     """n, mean, median, p95 and sample deviation by key; p95 is the value of rank floor(0.95 n), null for n < 2.
 
-    Median and p95 are read off ranks over range partitions, so no key's values are gathered.
+    Median and p95 are read off ranks over slices of the values, so no key's values are gathered.
     """
     own = df.select(key, F.col(ms).alias("_x")).filter(F.col("_x").isNotNull())
     sums = df.groupBy(key).agg(F.count("*").alias("n"), F.count(ms).alias("_known"), F.round(F.avg(ms), 6).alias("mean"), F.round(F.stddev_samp(ms), 6).alias("std"))
-    rows = ranked(own, [key], [F.asc("_x")]).join(sums.select(key, "n", "_known"), key)
+    rows = ranked(own, [key], [F.asc("_x")], ascending="_x").join(sums.select(key, "n", "_known"), key)
     n, rank = F.col("_known"), F.col("rank")
     middle = F.round((F.max(F.when(rank == F.floor((n + 1) / 2), F.col("_x"))) + F.max(F.when(rank == F.floor(n / 2) + 1, F.col("_x")))) / 2, 6)
     at = rows.groupBy(key).agg(middle.alias("median"), F.max(F.when(rank == F.floor(F.col("n") * F.lit(0.95)), F.col("_x"))).alias("p95"))

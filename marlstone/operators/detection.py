@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import CORNERS, iou_pairs
-from .ranking import before, ranged
+from .ranking import before, sliced
+from .storage import kept
 
 
 def grid():
@@ -71,11 +72,11 @@ def pr_curve(flags: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """flags (keys, score, det_id, tp) with rank, precision, recall and envelope; counts has keys' boxes as n_gt.
 
     envelope is the largest precision at this rank or later.  Ranks end ties by det_id.  Rows are
-    range-partitioned by rank; each partition carries on the counts of those before it
+    dealt out by slices of the score; each slice carries on the counts of those before it
     and the largest precision of those after it, so no task holds a whole class.
     """
     order = [F.desc("score"), F.asc("det_id")]
-    rows = ranged(flags, keys, order)
+    rows = sliced(kept(flags.withColumn("score", F.col("score").cast("double"))), "score", descending=True)
     inside = Window.partitionBy("_part", *keys)
     parts = before(rows.groupBy(*keys, "_part").agg(F.count("*").alias("n"), F.sum("tp").alias("hits")), keys, ["n", "hits"])
     down = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

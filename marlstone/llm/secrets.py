@@ -272,9 +272,9 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of find_secrets over the whole documents table."""
+    """Digest of find_secrets over the whole documents table; n_spans counts all spans, of base patterns and of the battery."""
     found = find_secrets(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda x: x["kind"] != "random")
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.size(F.filter(base, common.of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), F.size("secrets").cast("long").alias("n_spans"))

@@ -33,6 +33,16 @@ def to_original(x: Column, pad: Column, gain: Column, limit: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(limit, (x - pad) / gain))
 
 
+def by_applied_scale(x: Column, border: Column, new_side: Column, side: Column) -> Column:
+    """A letterbox coordinate in the original image by the scale and whole-pixel border that were applied in fact, not clipped."""
+    return (x - border) / (new_side / side)
+
+
+def thickness(h: Column) -> Column:
+    """The width of lines drawn on an image of a height."""
+    return F.greatest(F.lit(2), F.floor(h / 400)).cast("int")
+
+
 def to_letterbox(x: Column, pad: Column, gain: Column) -> Column:
     return x * gain + pad
 

@@ -50,6 +50,13 @@ def q_nearest_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return geometry.reconciled(gt, det, 12.0).select("gt_id", "det_id", "cls", "other_cls", F.round("diff", 6).alias("diff"), "close")
 
 
+def q_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Corners as they are drawn, in whole pixels and cut off toward zero, and the width of the lines."""
+    _, det = boxes(spark, d)
+    corners = geometry.drawn({k: F.col(k) for k in geometry.CORNERS}, least=0)
+    return det.select("det_id", *(c.alias(k) for k, c in corners.items()), geometry.thickness(F.lit(480) + F.col("img") * 97).alias("line"))
+
+
 def q_flip(spark: SparkSession, d: str) -> DataFrame:
     """Centre boxes of images that are mirrored left to right."""
     v = table(spark, d, "embeddings")
@@ -141,6 +148,7 @@ ORACLES = {
     "q_malformed_gate": f"WITH {BOXES} SELECT 'ground truth' AS gate, count(*) = 0 AS passed, count(*) AS n_violations FROM gt WHERE NOT (x1 <= x2 AND y1 <= y2) UNION ALL SELECT 'detections', count(*) = 0, count(*) FROM det WHERE NOT (x1 <= x2 AND y1 <= y2)",
     "q_outside_boxes": f"WITH {BOXES}, p AS (SELECT img, det_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM det) SELECT img, det_id, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE NOT EXISTS (SELECT 1 FROM gt WHERE gt.img = p.img AND p.x BETWEEN gt.x1 AND gt.x2 AND p.y BETWEEN gt.y1 AND gt.y2)",
     "q_nearest_reconcile": f"WITH {BOXES}, x AS (SELECT g.gt_id, d.det_id, g.cls, d.cls AS other_cls, greatest(abs(g.x1 - d.x1), abs(g.y1 - d.y1), abs(g.x2 - d.x2), abs(g.y2 - d.y2)) AS diff FROM gt g LEFT JOIN det d ON g.img = d.img), r AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY diff, det_id) AS k FROM x) SELECT gt_id, det_id, cls, other_cls, round(diff, 6) AS diff, coalesce(diff <= 12.0::DOUBLE, false) AS close FROM r WHERE k = 1",
+    "q_drawn": f"WITH {BOXES} SELECT det_id, greatest(0, trunc(x1)::INT) AS x1, greatest(0, trunc(y1)::INT) AS y1, greatest(0, trunc(x2)::INT) AS x2, greatest(0, trunc(y2)::INT) AS y2, greatest(2, (480 + img * 97) // 400)::INT AS line FROM det",
     "q_flip": "SELECT vec_id, round(1 - (0.5 + 2 * embedding[1]::DOUBLE), 9) AS cx, round(0.5 + 2 * embedding[2]::DOUBLE, 9) AS cy FROM embeddings",
     "q_suppression_monitor": f"WITH RECURSIVE {BOXES}, {_LOOSE}, r AS (SELECT img, count(*) AS n_before FROM det GROUP BY 1), q AS (SELECT img, count(*) AS n_after FROM nms GROUP BY 1), z AS (SELECT r.img, n_before, n_after, n_after::DOUBLE / n_before AS ratio FROM r JOIN q ON r.img = q.img) SELECT img, n_before, n_after, round(ratio, 6) AS ratio, abs(ratio - (SELECT avg(ratio) FROM z)) > 1.5::DOUBLE * (SELECT stddev_samp(ratio) FROM z) AS alert FROM z",
     "q_miss_fp_rank": f"WITH {BOXES}, h AS (SELECT * FROM pairs WHERE iou >= 0.5::DOUBLE), e AS (SELECT img, 1 AS m, 0 AS f FROM gt WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.gt_id = gt.gt_id) UNION ALL SELECT img, 0, 1 FROM det WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.det_id = det.det_id)) SELECT img, sum(m)::BIGINT AS misses, sum(f)::BIGINT AS false_positives, (sum(m) + sum(f))::BIGINT AS errors FROM e GROUP BY 1 ORDER BY errors DESC, misses DESC, false_positives DESC, img DESC LIMIT 5",

@@ -97,8 +97,8 @@ def q_letterbox_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     for axis, side, border in (("x", "w", "left"), ("y", "h", "top")):
         pad, gain = F.col(f"pad_{side}"), F.col("gain")
         out[f"{axis}_err"] = F.abs(geometry.to_original(geometry.to_letterbox(F.col(axis), pad, gain), pad, gain, F.col(side)) - F.col(axis))
-        applied = F.col(f"new_{side}") / F.col(side)
-        out[f"{axis}_drift"] = F.abs((geometry.to_letterbox(F.col(axis), pad, gain) - F.col(border)) / applied - F.col(axis))
+        back = geometry.by_applied_scale(geometry.to_letterbox(F.col(axis), pad, gain), F.col(border), F.col(f"new_{side}"), F.col(side))
+        out[f"{axis}_drift"] = F.abs(back - F.col(axis))
     v = v.withColumns(out)
     return v.select("vec_id", F.round("gain", 9).alias("gain"), "new_w", "new_h", "pad_w", "pad_h", "top", "bottom", "left", "right", (F.round("x_err", 6) + 0.0).alias("x_err"), (F.round("y_err", 6) + 0.0).alias("y_err"), F.round("x_drift", 6).alias("x_drift"), F.round("y_drift", 6).alias("y_drift"))
 
@@ -111,7 +111,7 @@ def q_resized(spark: SparkSession, d: str) -> DataFrame:
 
 def q_dims_mismatch(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents").select("doc_id", "n_chars", F.char_length("text").alias("n")), table(spark, d, "labels").select("doc_id")
-    return labels.join(docs, "doc_id", "left").agg(F.count("*").alias("n_rows"), F.count_if(F.col("n").isNull()).alias("n_missing"), F.count_if(F.col("n") != F.col("n_chars")).alias("n_mismatch"))
+    return labels.join(docs, "doc_id", "left").agg(F.count("*").alias("n_rows"), F.count_if(F.col("n").isNull()).alias("n_missing"), F.count_if(F.col("n") != F.col("n_chars")).alias("n_mismatch"), (F.count_if(F.col("n").isNull()) == 0).alias("passed"))
 
 
 def q_parity_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +134,7 @@ def q_reconcile(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long")).alias("cents"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"))
     both = orders.join(lines, "key", "left").withColumn("diff", F.abs(F.col("total") - F.col("cents") / 100))
-    return both.agg(F.count("*").alias("n_orders"), F.count_if(F.col("cents").isNull()).alias("n_unmatched"), F.count_if(F.col("diff") <= 0.01 * F.col("total")).alias("n_close"), F.round(F.min("diff"), 4).alias("least_diff"), F.round(F.max("diff"), 4).alias("most_diff"))
+    return both.agg(F.count("*").alias("n_orders"), F.count_if(F.col("cents").isNull()).alias("n_unmatched"), F.count_if(F.col("diff") <= 0.01 * F.col("total")).alias("n_close"), F.round(F.min("diff"), 4).alias("least_diff"), F.round(F.max("diff"), 4).alias("most_diff"), (F.count_if(F.col("cents").isNull()) == 0).alias("passed"))
 
 
 def q_name_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -209,10 +209,10 @@ ORACLES = {
         round(abs(greatest(0, least(w, ((x * gain + pad_w) - pad_w) / gain)) - x), 6) + 0 AS x_err, round(abs(greatest(0, least(h, ((y * gain + pad_h) - pad_h) / gain)) - y), 6) + 0 AS y_err,
         round(abs(((x * gain + pad_w) - "left") / (new_w / w) - x), 6) AS x_drift, round(abs(((y * gain + pad_h) - top) / (new_h / h) - y), 6) AS y_drift FROM q""",
     "q_resized": "WITH p AS (SELECT p_partkey, p_size * 61 AS w, (p_partkey % 900 + 100)::INT AS h FROM part), s AS (SELECT *, 1280::DOUBLE / greatest(w, h) AS sc FROM p) SELECT p_partkey, CASE WHEN sc < 1 THEN round_even(w * sc, 0)::INT ELSE w::INT END AS new_w, CASE WHEN sc < 1 THEN round_even(h * sc, 0)::INT ELSE h END AS new_h, CASE WHEN h >= w THEN 'portrait' ELSE 'landscape' END AS orientation FROM s",
-    "q_dims_mismatch": "SELECT count(*) AS n_rows, count(*) FILTER (d.text IS NULL) AS n_missing, count(*) FILTER (length(d.text) <> d.n_chars) AS n_mismatch FROM labels l LEFT JOIN documents d USING (doc_id)",
+    "q_dims_mismatch": "SELECT count(*) AS n_rows, count(*) FILTER (d.text IS NULL) AS n_missing, count(*) FILTER (length(d.text) <> d.n_chars) AS n_mismatch, count(*) FILTER (d.text IS NULL) = 0 AS passed FROM labels l LEFT JOIN documents d USING (doc_id)",
     "q_parity_diff": "WITH o AS (SELECT l_suppkey, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE AS c FROM lineitem GROUP BY 1), x AS (SELECT l_suppkey, abs(c / 100 - b) AS d FROM o LEFT JOIN (SELECT s_suppkey, round(c / 100) AS b FROM supplier JOIN o ON l_suppkey = s_suppkey WHERE c > 0) p ON p.s_suppkey = o.l_suppkey) SELECT count(*) AS n, count(*) FILTER (d IS NULL) AS n_unpaired, round(max(d), 6) AS worst, (SELECT l_suppkey FROM x WHERE d IS NOT NULL ORDER BY round(d, 6) DESC, l_suppkey LIMIT 1) AS worst_key, round(avg(d), 6) AS mean_diff, max(d) <= 0.45 AS passed, count(*) FILTER (d IS NULL) = 0 AS paired FROM x",
     "q_rank_parity": "WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS rank FROM events), a AS (SELECT user_id, rank, value AS a FROM r WHERE event_type = 'click'), b AS (SELECT user_id, rank, value AS b FROM r WHERE event_type = 'view'), j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, a, b FROM a FULL JOIN b ON a.user_id = b.user_id AND a.rank = b.rank) SELECT user_id, count(a) AS n_a, count(b) AS n_b, CASE WHEN count(a) = count(b) THEN round(max(abs(a - b)), 6) ELSE 'Infinity'::DOUBLE END AS worst FROM j GROUP BY 1",
-    "q_reconcile": "WITH l AS (SELECT l_orderkey, sum(round(l_extendedprice * (1 - l_discount) * 100)::BIGINT)::DOUBLE AS c FROM lineitem GROUP BY 1), j AS (SELECT o_totalprice AS t, c, abs(o_totalprice - c / 100) AS d FROM orders LEFT JOIN l ON o_orderkey = l_orderkey) SELECT count(*) AS n_orders, count(*) FILTER (c IS NULL) AS n_unmatched, count(*) FILTER (d <= 0.01::DOUBLE * t) AS n_close, round(min(d), 4) AS least_diff, round(max(d), 4) AS most_diff FROM j",
+    "q_reconcile": "WITH l AS (SELECT l_orderkey, sum(round(l_extendedprice * (1 - l_discount) * 100)::BIGINT)::DOUBLE AS c FROM lineitem GROUP BY 1), j AS (SELECT o_totalprice AS t, c, abs(o_totalprice - c / 100) AS d FROM orders LEFT JOIN l ON o_orderkey = l_orderkey) SELECT count(*) AS n_orders, count(*) FILTER (c IS NULL) AS n_unmatched, count(*) FILTER (d <= 0.01::DOUBLE * t) AS n_close, round(min(d), 4) AS least_diff, round(max(d), 4) AS most_diff, count(*) FILTER (c IS NULL) = 0 AS passed FROM j",
     "q_name_parse": r"WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 2) AS host, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 3) AS lang, try_cast(nullif(regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/([0-9]+)', 4), '') AS BIGINT) AS number FROM pages) SELECT *, number % 86400000 AS ms, CASE WHEN number IS NULL THEN 'null:null.null' ELSE lpad((((number % 86400000) // 60000) % 60)::VARCHAR, 2, '0') || ':' || lpad((((number % 86400000) // 1000) % 60)::VARCHAR, 2, '0') || '.' || lpad(((number % 86400000) % 1000)::VARCHAR, 3, '0') END AS clock FROM p",
     "q_drift_rolling": f"WITH {_DAILY}, r AS (SELECT key, day, avg(x) OVER (PARTITION BY key ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolled FROM d) SELECT r.key, day, round(rolled, 6) AS rolled, round(m, 6) AS base, rolled < m - 2 * sd AS alert FROM r JOIN b ON r.key = b.key",
     "q_drift_islands": f"WITH {_DAILY}, o AS (SELECT d.key, day, row_number() OVER (PARTITION BY d.key ORDER BY day) AS k FROM d JOIN b ON d.key = b.key WHERE abs(x - m) > 0.02::DOUBLE * m) SELECT key, min(day) AS first_day, max(day) AS last_day, count(*) AS n_days FROM o GROUP BY key, day - k HAVING count(*) >= 3",

@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,37 +148,46 @@ def _surroundings(length: int, passage_bytes: int):
     names = ["key", "pos", "id", "h", "bytes", "before", "lo", "hi", "wide_lo", "wide_hi", "n", "place", "instance"]
     kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), *[pa.int32()] * 5, pa.int64(), pa.binary(), pa.bool_()]
 
-    def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names)
-
     def told(held):
-        return [(None, None, name, *x[:-2], x[-2], x[-1], False) for name, x in held.items()]
+        n = len(held)
+        columns = zip(*held.values(), strict=True) if n else [()] * 9
+        own = [pa.nulls(n, kinds[0]), pa.nulls(n, kinds[1]), pa.array(list(held), kinds[2]), *(pa.array(c, k) for c, k in zip(columns, kinds[3:12], strict=True)), pa.array([False] * n)]
+        held.clear()
+        return pa.RecordBatch.from_arrays(own, names)
 
     def run(batches):
         held: dict[bytes, list] = {}
         for batch in batches:
-            rows = []
-            for key, text, found in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "anchors")), strict=True):
+            keys, texts, found = batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("anchors")
+            cuts, every = found.offsets.to_numpy(), found.values
+            h, pos, lo, hi, wide_lo, wide_hi = (pc.struct_field(every, n).to_numpy() for n in _ANCHOR.names)
+            short, wide = lo <= hi, wide_lo <= wide_hi
+            first = np.where(short & wide, np.minimum(lo, wide_lo), np.where(short, lo, wide_lo))
+            last = np.where(short & wide, np.maximum(hi + passage_bytes, wide_hi + length), np.where(short, hi + passage_bytes, wide_hi + length))
+            marks = np.stack([lo, hi, wide_lo, wide_hi], axis=1).astype("<i4").tobytes()
+            starts, ends, at = (pos + first).tolist(), (pos + last).tolist(), pos.tolist()
+            ids = []
+            for key, text, a, b in zip(keys, texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 data = common.encoded(text)
-                for x in found:
-                    p, lo, hi, wide_lo, wide_hi = x["pos"], x["lo"], x["hi"], x["wide_lo"], x["wide_hi"]
-                    first = min([a for a, b in ((lo, hi), (wide_lo, wide_hi)) if a <= b])
-                    last = max([b + n for a, b, n in ((lo, hi, passage_bytes), (wide_lo, wide_hi, length)) if a <= b])
-                    around = data[p + first : p + last]
-                    name = hashlib.blake2b(around + b"%d,%d,%d,%d" % (lo, hi, wide_lo, wide_hi), digest_size=16).digest()
-                    place = key + p.to_bytes(8, "big")
+                for j in range(a, b):
+                    around = data[starts[j] : ends[j]]
+                    name = hashlib.blake2b(around + marks[16 * j : 16 * j + 16], digest_size=16).digest()
+                    ids.append(name)
                     own = held.get(name)
+                    place = key + at[j].to_bytes(8, "big")
                     if own is None:
-                        held[name] = [x["h"], around, -first, lo, hi, wide_lo, wide_hi, 1, place]
+                        held[name] = [int(h[j]), around, -int(first[j]), int(lo[j]), int(hi[j]), int(wide_lo[j]), int(wide_hi[j]), 1, place]
                     else:
-                        own[-2] += 1
-                        own[-1] = min(own[-1], place)
-                    rows.append((key, p, name, *[None] * 9, True))
+                        own[7] += 1
+                        if place < own[8]:
+                            own[8] = place
+            n = len(ids)
+            which = np.repeat(np.arange(len(keys)), np.diff(cuts))
+            columns = [pa.array(keys, pa.binary()).take(pa.array(which)), pa.array(pos[cuts[0] : cuts[-1]]), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, k) for k in kinds[3:12]), pa.array([True] * n)], names)
             if len(held) > REMEMBERED:
-                rows += told(held)
-                held.clear()
-            yield table(rows)
-        yield table(told(held))
+                yield told(held)
+        yield told(held)
 
     return run
 
@@ -306,14 +316,14 @@ def _strings(lengths: tuple[int, int]):
     return run
 
 
-def _merged(spans) -> list[list[int]]:
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return out
+def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The union of spans as maximal runs."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+    return list(zip(starts[new].tolist(), reach[np.append(new[1:], len(starts)) - 1].tolist(), strict=True))
 
 
 def whole_words(data: bytes, start: int, end: int) -> int:
@@ -324,15 +334,18 @@ def whole_words(data: bytes, start: int, end: int) -> int:
     return max(0, n - len(cut_off))
 
 
-def _covered(lengths: tuple[int, int], words: int, keep_first: bool):
+def _covered(words: int):
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             spans, passages, hashes = [], [], []
-            for key, text, matches in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "matches")), strict=True):
+            found = batch.column("matches")
+            cuts, every = found.offsets.to_pylist(), found.values
+            starts, ends, wide = (pc.struct_field(every, n).to_numpy(zero_copy_only=False) for n in ("start", "end", "wide"))
+            for text, a, b in zip(batch.column("text").to_pylist(), cuts[:-1], cuts[1:], strict=True):
                 data = common.encoded(text)
-                own = [m for m in matches if not (keep_first and m["first"] and m["place"] == key + m["pos"].to_bytes(8, "big"))]
-                out = _merged((m["pos"] + m["from"], m["pos"] + m["to"] + lengths[1]) for m in own if m["wide"])
+                long = a + np.flatnonzero(wide[a:b])
+                out = _merged(starts[long], ends[long])
                 kept, done = hashlib.sha256(), 0
                 for start, end in out:
                     kept.update(data[done:start])
@@ -340,8 +353,7 @@ def _covered(lengths: tuple[int, int], words: int, keep_first: bool):
                 kept.update(data[done:])
                 spans.append([{"start": s, "end": e} for s, e in out])
                 hashes.append(kept.hexdigest())
-                every = _merged((m["pos"] + m["from"], m["pos"] + m["to"] + lengths[m["wide"]]) for m in own)
-                passages.append([{"start": s, "end": e} for s, e in every if whole_words(data, s, e) > words])
+                passages.append([{"start": s, "end": e} for s, e in _merged(starts[a:b], ends[a:b]) if whole_words(data, s, e) > words])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, kind), pa.array(passages, kind), pa.array(hashes)], ["key", "spans", "passages", "kept_sha256"])
 
     return run
@@ -404,9 +416,13 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH, gram: int = GR
     often = F.broadcast(_frequent(found, "id", "n"))
     common_ = places_of.join(F.broadcast(found.join(often, "id")), "id")
     others = places_of.join(often, "id", "left_anti").join(found.join(often, "id", "left_anti"), "id")
-    by_text = common_.unionByName(others).select("key", "pos", "place", F.inline("runs")).groupBy("key").agg(F.collect_list(F.struct("pos", "wide", "from", "to", "first", "place")).alias("matches"))
+    spots = common_.unionByName(others).select("key", "pos", "place", F.inline("runs"))
+    if keep_first:
+        spots = spots.filter(~(F.col("first") & (F.col("place") == F.concat("key", F.unhex(F.lpad(F.hex("pos"), 16, "0"))))))
+    spots = spots.select("key", "wide", (F.col("pos") + F.col("from")).alias("start"), (F.col("pos") + F.col("to") + F.when(F.col("wide"), length).otherwise(passage_bytes)).alias("end"))
+    by_text = spots.groupBy("key").agg(F.collect_list(F.struct("wide", "start", "end")).alias("matches"))
     span = "array<struct<start:long,end:long>>"
-    cut = held.select("key", "text").join(by_text, "key").mapInArrow(_covered(lengths, passage_words, keep_first), f"key binary, spans {span}, passages {span}, kept_sha256 string")
+    cut = held.select("key", "text").join(by_text, "key").mapInArrow(_covered(passage_words), f"key binary, spans {span}, passages {span}, kept_sha256 string")
     none, whole = F.array().cast(span), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     copy = F.col("copies") > 1
     if keep_first:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import statistics
 from ..operators import audit, geometry, grouping
+from ..operators.ranking import rolling
 from .common import e, table
 
 #: Borders of the shares of an image that a box may cover.
@@ -160,10 +161,11 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 def q_rolling_24h(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").select("event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), F.round(F.col("value") * 1e6).cast("long").alias("u"))
-    w = Window.partitionBy("event_type").orderBy("s").rangeBetween(-86400, 0)
-    rolled = ev.withColumns({"n": F.count("*").over(w), "mean": F.sum("u").over(w) / F.count("*").over(w) / 1e6})
     base = ev.groupBy("event_type").agg((F.sum("u") / F.count("*") / 1e6).alias("m"), F.stddev_samp("u").alias("sd"))
-    out = rolled.join(base, "event_type").filter(F.abs(F.col("mean") - F.col("m")) > 0.1 * F.col("sd") / 1e6)
+    rolled = rolling(ev, ["event_type"], "s", 86400, ["u"]).withColumn("mean", F.col("u") / F.col("n") / 1e6)
+    off = rolled.join(base, "event_type").filter(F.abs(F.col("mean") - F.col("m")) > 0.1 * F.col("sd") / 1e6)
+    at = off.select(F.col("event_type").alias("_type"), F.col("s").alias("_s"), "n", "mean")
+    out = ev.join(at, (F.col("event_type") == F.col("_type")) & F.col("s").eqNullSafe(F.col("_s")))
     return out.select("event_id", "event_type", "n", F.round("mean", 6).alias("mean"))
 
 

@@ -4,12 +4,14 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import statistics
 from marlstone.operators import audit, detection, geometry, grouping, ranking, similarity
+from marlstone.plans import quality
 from marlstone.sources import annotations, config
 
 
@@ -62,6 +64,30 @@ def test_ranks_over_range_partitions(spark):
     assert ranking.ranked(df.limit(0), [], [F.asc("id")]).count() == 0
 
 
+def test_rolling_sums_by_what_enters_and_leaves(spark):
+    r = random.Random(8)
+    rows = [(r.choice("ab"), r.choice([None, 0, *range(-300, 300)]), r.choice([None, None, 5, -7, r.randrange(10**12)])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "c string, s long, u long")
+    for span in (0, 40):
+        found = {(x.c, x.s): (x.n, x.u) for x in ranking.rolling(df, ["c"], "s", span, ["u"]).collect()}
+        frame = lambda c, s: [x[2] for x in rows if x[0] == c and (x[1] is None if s is None else x[1] is not None and s - span <= x[1] <= s)]  # noqa: B023, E731
+        total = lambda us: sum(u for u in us if u is not None) if any(u is not None for u in us) else None
+        assert found == {(c, s): (len(frame(c, s)), total(frame(c, s))) for c, s, _ in rows}
+    assert ranking.rolling(df.limit(0), ["c"], "s", 40, ["u"]).count() == 0
+
+
+def test_rolling_24h_reads_no_frame_row_by_row(spark, tmp_path):
+    """A day of one type and one full second, with missing types, times and values: the rows of the SQL, and no sliding frame in the plan."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, CASE WHEN i % 50 = 0 THEN NULL WHEN i < 1000 THEN TIMESTAMP '1969-12-31 12:00:00.5' ELSE TIMESTAMP '1969-12-30 00:00:00' + to_milliseconds(i * 40000) END AS ts,
+        CASE WHEN i % 31 = 0 THEN NULL WHEN i % 7 = 0 THEN 'view' ELSE 'click' END AS event_type, CASE WHEN i % 11 = 0 OR i BETWEEN 4000 AND 7000 THEN NULL ELSE (i * 37 % 1000) / 10 + i / 100 END AS value FROM range(20000) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    found = quality.q_rolling_24h(spark, str(tmp_path))
+    want = con.sql(quality.ORACLES["q_rolling_24h"])
+    assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(want.fetchall()) != []
+    assert "RangeFrame" not in found._jdf.queryExecution().toString()
+
+
 def test_precision_recall_curve_and_best_f1(spark):
     r = random.Random(4)
     rows = [(r.choice([0, 1]), k, r.choice([0.5, round(r.random(), 2)]), int(r.random() < 0.6)) for k in range(400)]

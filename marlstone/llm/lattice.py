@@ -9,26 +9,30 @@ the vocabulary has for that, and no piece crosses it, so a text's likelihood is
 and of its end: the marginal probability over all segmentations of the whole text.
 
 Texts are read once, into blocks of about BLOCK_BYTES that hold each distinct
-word once and the tokens as numbers.  Word counts, and then each word's values, go
-between blocks and the global word table, so what is shuffled is a row for each
+word once and the tokens as numbers.  A row is one document or one word of a block, so that
+no reader, writer or batch holds more blocks than it must.  Words go to one place by one shuffle, are counted
+and stored there with the blocks that have them, and their values go back in pieces of SENT, so what is shuffled is a row for each
 block and distinct word, not for each token, and no table is broadcast but the
 weights of the vocabulary's pieces.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCK_BYTES = 8 << 20
+#: Values of words that a task collects before it sends them to their blocks.
+SENT = 1 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Occurrences that the vocabulary's own scores count for, per piece on average.
 PRIOR = 1.0
@@ -45,19 +49,26 @@ def _held(doc) -> bool:
     return zlib.crc32(b"" if doc is None else b"%d" % doc) % FOLDS == HELD_OUT
 
 
+_ROWS = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary())])
+
+
 def _blocks(batches):
-    """One row for each block: its words, how often each occurs in training documents, and the documents as word numbers."""
+    """Rows of a block's words, by number and with how often its training documents have them, and rows of its documents, as word numbers."""
+    task = TaskContext.get()
+    block = (task.partitionId() if task else 0) << 32
     numbers: dict[bytes, int] = {}
     docs, held, lengths, ids, size = [], [], [], [], 0
 
-    def row():
-        data = np.array(ids, dtype="<u4")
-        which = np.repeat(np.array(held, dtype=bool), np.array(lengths, dtype=np.int64))
-        train = np.bincount(data[~which], minlength=len(numbers)).astype(np.int64)
-        name = hashlib.blake2b(data.tobytes() + repr(docs).encode(), digest_size=16).digest()
-        out = ([name], [list(numbers)], [train], [docs], [held], [lengths], [data.tobytes()])
-        kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["block", "words", "train", "docs", "held", "lengths", "ids"])
+    def rows(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)) if f.name == "block" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROWS], schema=_ROWS)
+
+    def whole():
+        data, ends = np.array(ids, dtype="<u4"), np.cumsum([0, *lengths])
+        train = np.bincount(data[~np.repeat(np.array(held, dtype=bool), lengths)], minlength=len(numbers))
+        if numbers:
+            yield rows(number=np.arange(len(numbers)), word=list(numbers), n=train)
+        yield rows(doc_id=docs, held_out=held, ids=[data[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -69,11 +80,40 @@ def _blocks(batches):
             lengths.append(len(own))
             size += len(text or "")
             if size >= BLOCK_BYTES:
-                yield row()
+                yield from whole()
                 numbers.clear()
                 docs, held, lengths, ids, size = [], [], [], [], 0
+                block += 1
     if docs:
-        yield row()
+        yield from whole()
+
+
+def _merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A row for each run of a word: the sum of n, and where it stands."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    word, block, number, n = (table.column(c).chunk(0) for c in ("word", "block", "number", "n"))
+    runs = pc.run_end_encode(word)
+    at = np.concatenate([[0], runs.run_ends.to_numpy()]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(at), x) for x in (block, number)]
+    return pa.RecordBatch.from_arrays([runs.values, pa.array(np.add.reduceat(n.to_numpy(), at[:-1])), *lists], ["word", "c", "blocks", "numbers"])
+
+
+def _gathered(batches):
+    """Rows sorted by word, merged to one for each word; the last word of a batch waits for what follows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends, words = pc.run_end_encode(batch.column("word")).run_ends, batch.column("word")
+        last = ends[len(ends) - 2].as_py() if len(ends) > 1 else 0
+        if held and not last and held[0].column("word")[0] == words[0]:
+            held.append(batch)
+            continue
+        if held or last:
+            yield _merged([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield _merged(held)
 
 
 class Vocabulary:
@@ -146,36 +186,56 @@ def _count_pieces(path: str):
 
 
 def _score_words(path: str, weights: dict[int, float]):
+    def sent(parts):
+        block, number, c, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(block, kind="stable")
+        block, number, c, score = block[order], number[order].astype("<u4"), c[order].astype("<i8"), score[order].astype("<f8")
+        at = np.flatnonzero(np.diff(block, prepend=-1))
+        data = [number[s:e].tobytes() + c[s:e].tobytes() + score[s:e].tobytes() for s, e in zip(at, [*at[1:], len(block)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(data, pa.binary())], ["block", "data"])
+
     def run(batches):
         lattice = Lattice(vocabulary(path), weights)
+        parts, size = [], 0
         for batch in batches:
-            out = [lattice.score(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], ["word", "c", "score"])
+            score = np.array([lattice.score(w.decode("utf-8", "replace")) for w in batch.column("word").to_pylist()])
+            block, number = batch.column("blocks"), batch.column("numbers").flatten().to_numpy()
+            times = pc.list_value_length(block).to_numpy()
+            parts.append((block.flatten().to_numpy(), number, np.repeat(batch.column("c").to_numpy(), times), np.repeat(score, times)))
+            size += len(number)
+            if size >= SENT:
+                yield sent(parts)
+                parts, size = [], 0
+        if size:
+            yield sent(parts)
 
     return run
 
 
+def _received(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and scores of a block's words, by number, from pieces of number, c and score."""
+    sizes = [len(x) // 20 for x in data]
+    counts, scores = np.zeros(sum(sizes)), np.zeros(sum(sizes))
+    for x, k in zip(data, sizes, strict=True):
+        number = np.frombuffer(x, "<u4", k)
+        counts[number] = np.frombuffer(x, "<i8", k, 4 * k)
+        scores[number] = np.frombuffer(x, "<f8", k, 12 * k)
+    return counts, scores
+
+
 def _sum_up(known_end: bool, end_base: float, end_score: float, train_tokens: int, total: int):
-    def run(batches):
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("docs", "held", "lengths", "ids")), strict=True)
-            for k, (docs, held, lengths, ids) in enumerate(rows):
-                values = batch.column("values").slice(k, 1).flatten()
-                numbers = values.field("number").to_numpy(zero_copy_only=False) if len(values) else np.zeros(0, np.int64)
-                counts, scores = np.zeros(len(numbers)), np.zeros(len(numbers))
-                if len(numbers):
-                    counts[numbers] = values.field("c").to_numpy(zero_copy_only=False)
-                    scores[numbers] = values.field("score").to_numpy(zero_copy_only=False)
-                base = np.log10((counts + 1) / total)
-                data, at = np.frombuffer(ids, dtype="<u4"), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                out: tuple[list, ...] = ([], [], [], [], [], [], [])
-                for d, h, a, b in zip(docs, held, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    own = data[a:b]
-                    found = (d, h, b - a + 1, int((counts[own] > 0).sum()) + known_end, train_tokens, math.fsum(base[own]) + end_base, math.fsum(scores[own]) + end_score)
-                    for column, x in zip(out, found, strict=True):
-                        column.append(x)
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
+        counts, scores = _received(values.column("data").to_pylist())
+        base = np.log10((counts + 1) / total)
+        n, known, bases, sums = [], [], [], []
+        for ids in docs.column("ids").to_pylist():
+            own = np.frombuffer(ids, dtype="<u4")
+            n.append(len(own) + 1)
+            known.append(int((counts[own] > 0).sum()) + known_end)
+            bases.append(math.fsum(base[own].tolist()) + end_base)
+            sums.append(math.fsum(scores[own].tolist()) + end_score)
+        columns = [*(pa.array(x, pa.int64()) for x in (n, known, [train_tokens] * len(n))), *(pa.array(x, pa.float64()) for x in (bases, sums))]
+        return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -189,21 +249,20 @@ def score_texts(docs: DataFrame, vocabulary_path: str, prior: float = PRIOR) ->
     vocabulary's own scores decide.  An empty table gives no rows.
     """
     common.bounded_batches(docs.sparkSession)
-    kind = "block binary, words array<binary>, train array<long>, docs array<long>, held array<boolean>, lengths array<long>, ids binary"
-    blocks = common.stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks, kind))
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("number", "w")).select("block", "number", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-    words = common.stored(listed.groupBy("word").agg(F.sum("n").alias("c")))
-    c_end = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
+    kind = "block long, number int, word binary, n long, doc_id long, held_out boolean, ids binary"
+    rows = common.stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks, kind))
+    listed = rows.filter("word is not null").select("word", "block", "number", "n")
+    words = common.stored(listed.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, "word binary, c long, blocks array<long>, numbers array<int>"))
+    texts = rows.filter("ids is not null").select("block", "doc_id", "held_out", "ids")
+    c_end = texts.agg(F.count_if(~F.col("held_out"))).first()[0]
     known, total = words.agg(F.count_if(F.col("c") > 0), F.sum("c")).first()
     n, v = (total or 0) + c_end, known + (c_end > 0)
     counts = {r[0]: r[1] for r in words.filter("c > 0").select("word", "c").mapInArrow(_count_pieces(vocabulary_path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     own = vocabulary(vocabulary_path)
     weights, end = own.weights(counts, c_end, prior)
-    scored = words.mapInArrow(_score_words(vocabulary_path, weights), "word binary, c long, score double")
-    values = listed.select("block", "number", "word").join(scored, "word").groupBy("block").agg(F.collect_list(F.struct("number", "c", "score")).alias("values"))
-    held = blocks.select("block", "docs", "held", "lengths", "ids").join(values, "block", "left").withColumn("values", F.coalesce("values", F.array().cast("array<struct<number:int,c:long,score:double>>")))
+    values = words.mapInArrow(_score_words(vocabulary_path, weights), "block long, data binary")
     run = _sum_up(c_end > 0, math.log10((c_end + 1) / (n + v + 1)), end, n, n + v + 1)
-    return held.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

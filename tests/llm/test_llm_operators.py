@@ -10,6 +10,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,36 @@ def test_language_model_counts(spark):
     assert lattice.score_texts(frame(spark, []), path).count() == 0
 
 
+def test_language_model_rows_hold_one_document_or_word(monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randint(0, 60)}" for _ in range(r.randint(0, 40))) for _ in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 50)), pa.array(texts[k : k + 50])], ["doc_id", "text"]) for k in range(0, 200, 50)]
+    monkeypatch.setattr(lattice, "BLOCK_BYTES", 3000)
+    out = list(lattice._blocks(iter(batches)))
+    assert max(len(x) for b in out for x in b.column("ids").to_pylist() if x is not None) == 4 * max(len(t.split()) for t in texts)
+    rows = [x for b in out for x in b.to_pylist()]
+    words = {(x["block"], x["number"]): x["word"] for x in rows if x["word"] is not None}
+    docs = {x["doc_id"]: (x["block"], x["ids"]) for x in rows if x["ids"] is not None}
+    assert len(words) + len(docs) == len(rows) and len({b for b, _ in words}) > 3
+    for k, text in enumerate(texts):
+        block, ids = docs[k]
+        assert [words[block, x].decode() for x in memoryview(ids).cast("I")] == text.split()
+    # Words are merged the same however the rows are cut into batches.
+    held = [x for x in range(200) if lattice._held(x)]
+    want = Counter(w for k, t in enumerate(texts) if k not in held for w in t.split())
+    listed = pa.Table.from_pylist(sorted(({c: x[c] for c in ("word", "block", "number", "n")} for x in rows if x["word"] is not None), key=lambda x: x["word"]))
+    for size in (1, 3, 1000):
+        found = [x for b in lattice._gathered(iter(listed.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        assert {x["word"].decode(): x["c"] for x in found} == {w: want[w] for t in texts for w in t.split()} and len(found) == len({w for t in texts for w in t.split()})
+        assert {(b, k): x["word"] for x in found for b, k in zip(x["blocks"], x["numbers"], strict=True)} == words
+
+
+def test_language_model_of_texts_without_words(spark):
+    path = str(__import__("public_tokenizers").path("piece_bpe_32k.model"))
+    out = lattice.score_texts(frame(spark, [(1, None), (2, " "), (None, "")]), path).collect()
+    assert [(x.n_tokens, x.n_known, x.train_tokens) for x in out] == [(1, 1, len(out) - sum(x.held_out for x in out))] * 3
+
+
 def _runs(d, length, counts):
     gone = bytearray(len(d))
     for k in range(len(d) - length + 1):

@@ -16,11 +16,12 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ SHARD_PIECES = 50_000
 FAN_IN = 64
 #: Parts of texts that a worker remembers the ids of from batch to batch.
 KNOWN_PARTS = 50_000
+#: Characters of texts that are encoded at once.
+TOGETHER = 8 << 20
 END_ID = 0
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,7 +53,8 @@ class Encoder:
     Pre-tokens never reach over a single space that stands before and after
     something else than white space, so plain texts are split there and each
     part of a batch is encoded once, all new parts in one call; `ranks` is the
-    same vocabulary for a library that encodes faster.  Other texts are encoded
+    same vocabulary for a library that encodes faster.  Parts are numbers from the split to the
+    ids, which one indexing lays out for the whole batch, so nothing is done part by part in Python.  Other texts are encoded
     whole, by the tokenizer itself where they hold a special token's string.
     """
 
@@ -66,8 +70,10 @@ class Encoder:
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
             self.parts, self.rest = (tiktoken.Encoding("own", pat_str=x, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for x in (_PLAIN_PARTS, public_tokenizers.PATTERN))
-        self.known: dict[str, bytes] = {"": self.one(" ")}
-        self.fence = np.frombuffer(self.one(_FENCE), dtype="<u4")
+        #: Parts whose ids, with a space before each, are remembered, and these ids one part after the other.
+        self.known = pa.array([], pa.string())
+        self.lengths, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+        self.fence = self.one(_FENCE)
 
     def one(self, text: str) -> bytes:
         if self.rest and not any(s in text for s in self.special):
@@ -78,25 +84,50 @@ class Encoder:
         return not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n")) and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split(" ") if t and self.parts and self._plain(t) else None for t in texts]
-        parts = set().union(*(x[1:] for x in split if x))
-        new = [*(parts - self.known.keys())]
-        fresh = dict(zip(new, self._several([" " + x for x in new]), strict=True))
-        heads = self._several([x[0] for x in split if x])
-        table = self.known | fresh
-        if len(self.known) < KNOWN_PARTS:
-            self.known.update(fresh)
-        head, out = iter(heads), []
-        for text, own in zip(texts, split, strict=True):
-            out.append(b"".join([next(head), *map(table.__getitem__, own[1:])]) if own else self.one(text) if text else b"")
-        return out
-
-    def _several(self, parts: list[str]) -> list[bytes]:
-        if not parts:
-            return []
-        ids = np.array(self.parts(_FENCE.join(parts)), dtype="<u4")
-        data, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.fence[0])).tolist(), 4 * len(ids)]
-        return [data[s:e] for s, e in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+        plain = [k for k, t in enumerate(texts) if t and self.parts and self._plain(t)]
+        out = [b"" if not t else None for t in texts]
+        group = np.cumsum([0, *(len(texts[k]) for k in plain)])[:-1] // TOGETHER
+        for own in np.split(np.array(plain, dtype=np.int64), np.flatnonzero(np.diff(group)) + 1):
+            for k, found in zip(own.tolist(), self._split([texts[k] for k in own.tolist()]), strict=True):
+                out[k] = found
+        return [self.one(t) if x is None else x for x, t in zip(out, texts, strict=True)]
+
+    def _split(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of plain texts."""
+        if not texts:
+            return
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends, first = split.offsets.to_numpy()[1:], split.offsets.to_numpy()[:-1]
+        parts = split.values.dictionary_encode()
+        words = parts.dictionary.cast(pa.string())
+        at = pc.index_in(words, self.known)
+        new = words.filter(at.is_null())
+        lengths, ids = self._several(new, " ")
+        head_lengths, head_ids = self._several(split.values.take(pa.array(first)), "")
+
+        # Known parts, then new ones, then the heads, each of which is a part of its own.
+        k, n = len(self.known), len(self.known) + len(new)
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = np.arange(k, n)
+        number = place[parts.indices.to_numpy()]
+        number[first] = np.arange(n, n + len(texts))
+        all_lengths, all_ids = np.concatenate([self.lengths, lengths, head_lengths]), np.concatenate([self.ids, ids, head_ids])
+        starts, own = (np.cumsum(all_lengths) - all_lengths)[number], all_lengths[number]
+        stop = np.cumsum(own)
+        data = all_ids[np.repeat(starts - stop + own, own) + np.arange(stop[-1])].tobytes()
+        if k < KNOWN_PARTS:
+            self.known, self.lengths, self.ids = pa.concat_arrays([self.known, new]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        e = (4 * stop[ends - 1]).tolist()
+        yield from (data[x:y] for x, y in zip([0, *e[:-1]], e, strict=True))
+
+    def _several(self, parts: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each part has, with `before` in front of it, and all ids."""
+        if not len(parts):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+        text = before + (_FENCE + before).join(parts.to_numpy(zero_copy_only=False))
+        ids = np.array(self.parts(text), dtype="<u4")
+        fences = ids == np.frombuffer(self.fence, dtype="<u4")[0]
+        return np.diff(np.flatnonzero(fences), prepend=-1, append=len(ids)) - 1, ids[~fences]
 
 
 def encoder(tokenizer_path: str, ranks_path: str | None) -> Encoder:

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -68,6 +69,45 @@ def test_ids_are_those_of_the_tokenizer():
     assert e.batch(texts) == [array("I", e.whole.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
 
 
+def test_ids_of_groups_of_texts(monkeypatch):
+    r = random.Random(12)
+    texts = ["".join(r.choice("aZéß 1.,'s\n  ") for _ in range(r.choice([0, 1, 3, 30]))) for _ in range(400)]
+    e = packing.Encoder(*packing.paths())
+    want = [array("I", e.whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    for together in (1, 100, 1 << 20):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        assert e.batch(texts) == want
+        assert packing.Encoder(*packing.paths()).batch(texts) == want
+    monkeypatch.setattr(packing, "KNOWN_PARTS", 10)
+    e = packing.Encoder(*packing.paths())
+    assert [x for k in range(0, 400, 50) for x in e.batch(texts[k : k + 50])] == want
+
+
+def test_encoding_costs_less_than_a_lookup_for_each_part():
+    r = random.Random(13)
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 9))) for _ in range(40_000)]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(1000)]
+    e = packing.Encoder(*packing.paths())
+    e.batch(texts)
+    known = {w: b"12345678" for w in words}
+
+    def by_lookups():
+        split = [t.split(" ") for t in texts if e._plain(t)]
+        fresh = set().union(*split) - known.keys()
+        table = known | dict.fromkeys(fresh, b"")
+        return [b"".join(map(table.__getitem__, x)) for x in split]
+
+    def seconds(f):
+        found = []
+        for _ in range(5):
+            start = time.process_time()
+            f()
+            found.append(time.process_time() - start)
+        return min(found)
+
+    assert seconds(lambda: e.batch(texts)) < 0.85 * seconds(by_lookups)
+
+
 def test_packing_is_gapless_and_whole(spark):
     r = random.Random(3)
     docs = [(k, " ".join("word" for _ in range(r.choice([0, 3, 40, 300, 2100, 5000])))) for k in range(60)] + [(70, None), (None, "a"), (5, "b b"), (5, "b b")]

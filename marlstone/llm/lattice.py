@@ -146,18 +146,24 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattice:
-    """log10 of the summed probability of all segmentations of a word."""
+    """log10 of the summed probability of all segmentations of a word.
+
+    Sums up to each place depend only on what stands before it, so a word takes over those of its common beginning with the
+    word before; sorted words have to compute only their ends.
+    """
 
     def __init__(self, own: Vocabulary, weights: dict[int, float]):
         self.pieces = {p: weights[k] * math.log(10) for p, k in own.pieces.items() if not (p.startswith("<0x") and k in own.bytes)}
         self.bytes = [weights[k] * math.log(10) for k in own.bytes]
         self.longest = max(map(len, self.pieces))
+        self.text, self.ahead = "", [0.0]
 
     def score(self, word: str) -> float:
         text = _START + word
         get, exp, longest = self.pieces.get, math.exp, self.longest
-        ahead = [0.0]
-        for j in range(1, len(text) + 1):
+        same = next((k for k, (a, b) in enumerate(zip(text, self.text)) if a != b), min(len(text), len(self.text)))
+        ahead = self.ahead[: same + 1]
+        for j in range(same + 1, len(text) + 1):
             terms = []
             for i in range(max(0, j - longest), j):
                 w = get(text[i:j])
@@ -167,6 +173,7 @@ class Lattice:
                 terms.append(ahead[j - 1] + sum(self.bytes[b] for b in text[j - 1].encode("utf-8", "replace")))
             top = max(terms)
             ahead.append(top if len(terms) == 1 else top + math.log(sum([exp(t - top) for t in terms])))
+        self.text, self.ahead = text, ahead
         return ahead[-1] / math.log(10)
 
 

@@ -263,6 +263,36 @@ def test_lattice_sums_all_segmentations():
         assert abs(model.score(word) - math.log10(brute("▁" + word))) < 1e-9
 
 
+def test_lattice_scores_do_not_depend_on_the_word_before():
+    own = lattice.vocabulary(str(__import__("public_tokenizers").path("piece_bpe_32k.model")))
+    weights, _ = own.weights({5: 7}, 3)
+    r = random.Random(4)
+    words = ["".join(r.choice("thé\U0001f600") for _ in range(r.randint(1, 6))) for _ in range(300)]
+    shared = lattice.Lattice(own, weights)
+    fresh = {}
+    for w in words:
+        shared.text, shared.ahead = "", [0.0]
+        fresh[w] = shared.score(w)
+    for order in (words, sorted(words), sorted(words, reverse=True)):
+        assert [shared.score(w) for w in order] == [fresh[w] for w in order]
+    # Sorted words look up less than words each for itself.
+    class Counted(dict):
+        n = 0
+
+        def get(self, key):
+            Counted.n += 1
+            return super().get(key)
+
+    shared.pieces = Counted(shared.pieces)
+    for w in sorted(words):
+        shared.score(w)
+    found = Counted.n
+    for w in sorted(words):
+        shared.text, shared.ahead = "", [0.0]
+        shared.score(w)
+    assert 2 * found < Counted.n - found
+
+
 def test_language_model_counts(spark):
     r = random.Random(8)
     docs = [(k, " ".join(r.choice(["The", "cat", "Sat", "sat.", "é", "mat x"]) for _ in range(r.randint(0, 9)))) for k in range(30)] + [(40, None), (41, "new words\there"), (5, "again"), (5, "again")]

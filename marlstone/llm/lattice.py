@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_BYTES = 8 << 20
+#: Rows of words or documents in one Arrow batch that a task sends back.
+ROWS = 10_000
 #: Values of words that a task collects before it sends them to their blocks.
 SENT = 1 << 20
 FOLDS, HELD_OUT = 7, 2
@@ -66,9 +69,12 @@ def _blocks(batches):
     def whole():
         data, ends = np.array(ids, dtype="<u4"), np.cumsum([0, *lengths])
         train = np.bincount(data[~np.repeat(np.array(held, dtype=bool), lengths)], minlength=len(numbers))
-        if numbers:
-            yield rows(number=np.arange(len(numbers)), word=list(numbers), n=train)
-        yield rows(doc_id=docs, held_out=held, ids=[data[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)])
+        for k, own in enumerate(batched(numbers, ROWS)):
+            at = np.arange(k * ROWS, k * ROWS + len(own))
+            yield rows(number=at, word=own, n=train[at])
+        for at in batched(range(len(docs)), ROWS):
+            part = slice(at[0], at[-1] + 1)
+            yield rows(doc_id=docs[part], held_out=held[part], ids=[data[ends[k] : ends[k + 1]].tobytes() for k in at])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -338,6 +338,21 @@ def test_language_model_rows_hold_one_document_or_word(monkeypatch):
         assert {(b, k): x["word"] for x in found for b, k in zip(x["blocks"], x["numbers"], strict=True)} == words
 
 
+def test_language_model_rows_of_a_block_come_in_bounded_batches():
+    n = 25_000
+    texts = [" ".join(f"w{k}" for k in range(x, x + 2)) for x in range(n)]
+    out = list(lattice._blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], ["doc_id", "text"])])))
+    assert max(b.num_rows for b in out) <= 10_000 and {x for b in out for x in b.column("block").to_pylist()} == {0}
+    rows = [x for b in out for x in b.to_pylist()]
+    words = {x["number"]: x["word"].decode() for x in rows if x["word"] is not None}
+    docs = {x["doc_id"]: x for x in rows if x["ids"] is not None}
+    assert len(words) == n + 1 and len(docs) == n and len(rows) == 2 * n + 1
+    for k, text in enumerate(texts):
+        assert [words[x] for x in memoryview(docs[k]["ids"]).cast("I")] == text.split() and docs[k]["held_out"] == lattice._held(k)
+    want = Counter(w for k, t in enumerate(texts) if not lattice._held(k) for w in t.split())
+    assert {x["word"].decode(): x["n"] for x in rows if x["word"] is not None} == {w: want[w] for w in words.values()}
+
+
 def test_language_model_of_texts_without_words(spark):
     path = str(__import__("public_tokenizers").path("piece_bpe_32k.model"))
     out = lattice.score_texts(frame(spark, [(1, None), (2, " "), (None, "")]), path).collect()

@@ -4,7 +4,9 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text,
 each after a stretch of common text that both share.  A window of text is
 compressed with either, and the difference of the two lengths says which class
 knows it better.  Windows are single words between two fixed strings, so a word's
-distance is found once and remembered.
+distance is found once and remembered.  Words that aren't known yet are compressed
+many at a time, sorted, by one dictionary after the other: each then stays in the
+processor's cache, which halves the time and changes no distance.
 
 What makes a text toxic is a small part of it, so the dictionaries are trained
 in rounds: each fold's documents are measured with dictionaries that never saw
@@ -22,7 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +49,10 @@ FOLDS = 2
 NEAREST = 6
 LEVEL = 12
 SEED = 7
-#: Words whose distances a worker remembers; the memory is cleared beyond that.
-KNOWN_WORDS = 500_000
+#: Words whose distances a worker remembers, about; beyond that those go that weren't asked for since half as many others were.
+KNOWN_WORDS = 1_000_000
+#: Words that are looked up at a time, which bounds what is held beside the memory.
+AT_ONCE = 100_000
 #: What stands before and after a word; matches cannot begin in the last eight bytes of an input.
 _BEFORE, _AFTER = b" 0123456789 abcdefghijklmnop ", b" zyxwvutsrqponmlk 9876543210 "
 _STEPS = (1, 2, 3, 4, 5, 6, 7)
@@ -75,24 +82,45 @@ def _content(words: list[bytes], size: int, rng: random.Random) -> bytes:
         return b"".join(lines)[:size]
 
 
-class Distances(dict):
-    """Word to its distance by each pair of dictionaries: length by the ordinary one less length by the toxic one."""
+class Distances:
+    """A word's distance by each pair of dictionaries: length by the ordinary one less length by the toxic one."""
 
     def __init__(self, pairs: list[tuple[bytes, bytes]]):
         self.pairs = [(_compressor(ordinary).compress, _compressor(toxic).compress) for toxic, ordinary in pairs]
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        data = _BEFORE + word + _AFTER
-        self[word] = found = tuple(len(ordinary(data)) - len(toxic(data)) for ordinary, toxic in self.pairs)
-        return found
-
-
-def features(distances: np.ndarray) -> list[float]:
-    d = distances if len(distances) else np.zeros(1)
-    over = [int((d >= s).sum()) for s in _STEPS]
-    return [*np.log1p(over), *(10 * np.array(over) / len(d)), float(np.log(len(d))), float(d.mean()), float(d.max())]
+        self.recent: dict[bytes, tuple[int, ...]] = {}
+        self.earlier: dict[bytes, tuple[int, ...]] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Puts all of the words among the recent ones."""
+        if len(self.recent) > KNOWN_WORDS // 2:
+            self.earlier, self.recent = self.recent, {}
+        wanted = {*words}.difference(self.recent)
+        new = sorted(wanted.difference(self.earlier))
+        self.recent.update((w, self.earlier[w]) for w in wanted.difference(new))
+        data = [_BEFORE + w + _AFTER for w in new]
+        found = zip(*(map(sub, *([len(compress(x)) for x in data] for compress in pair)) for pair in self.pairs), strict=True)
+        # Few distances differ, so equal ones are held once.
+        same: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.recent.update((w, same.setdefault(d, d)) for w, d in zip(new, found, strict=True))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """A row for each word, a column for each pair."""
+        out = np.zeros((len(words), len(self.pairs)), dtype=np.int64)
+        for k in range(0, len(words), AT_ONCE):
+            part = words[k : k + AT_ONCE]
+            self._learn(part)
+            out[k : k + AT_ONCE].flat = np.fromiter(chain.from_iterable(map(self.recent.__getitem__, part)), np.int64, len(part) * len(self.pairs))
+        return out
+
+
+def features(distances: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """A row for each text, whose words' distances follow each other, as many as its size; without words it counts as one at 0."""
+    n = np.maximum(sizes, 1)
+    d = np.zeros(int(n.sum()), dtype=np.int64)
+    d[np.repeat(np.array(sizes) > 0, n)] = distances
+    starts = np.cumsum(n) - n
+    over = np.stack([np.add.reduceat(d >= s, starts, dtype=np.int64) for s in _STEPS], axis=1)
+    return np.c_[np.log1p(over), 10 * over / n[:, None], np.log(n), np.add.reduceat(d, starts) / n, np.maximum.reduceat(d, starts)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,12 +153,30 @@ class Model:
             held[name] = Distances(self.pairs)
         return held[name]
 
+    def scores(self, known: Distances, texts: Iterable[str | None]) -> list[float]:
+        """Of texts in their order; words are looked up for as many texts together as have AT_ONCE of them."""
+        out, held, n = [], [], 0
+        for text in texts:
+            held.append(windows(text))
+            n += len(held[-1])
+            if n >= AT_ONCE:
+                out += self._scores(known, held)
+                held, n = [], 0
+        return out + self._scores(known, held)
+
+    def _scores(self, known: Distances, held: list[set[bytes]]) -> list[float]:
+        if not self.pairs or not held:
+            return [self.share] * len(held)
+        found, sizes = known.of([*chain.from_iterable(held)]), [len(x) for x in held]
+        z = []
+        for k in range(len(self.pairs)):
+            x = np.c_[(features(found[:, k], sizes) - self.mean) / self.spread, np.ones(len(held))]
+            # Row by row: a product of matrices may round equal rows differently.
+            z.append([row @ self.weights for row in x])
+        return (1 / (1 + np.exp(-np.clip(np.mean(z, axis=0) + self.shift, -30, 30)))).tolist()
+
     def score(self, known: Distances, text: str | None) -> float:
-        if not self.pairs:
-            return self.share
-        found = np.array([known[w] for w in windows(text)], dtype=np.int64).reshape(-1, len(self.pairs))
-        z = [float(np.r_[(np.array(features(found[:, k])) - self.mean) / self.spread, 1] @ self.weights) for k in range(len(self.pairs))]
-        return float(1 / (1 + np.exp(-np.clip(np.mean(z) + self.shift, -30, 30))))
+        return self.scores(known, [text])[0]
 
 
 def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
@@ -148,16 +194,16 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
         for f, pair in enumerate(pairs):
             known = Distances([pair])
             for k, own in enumerate(sets):
-                picked = []
-                for words in own[f::FOLDS]:
-                    d = [known[w][0] for w in words]
-                    rows.append(features(np.array(d)))
-                    classes.append(1 - k)
-                    picked += [w for v, w in sorted(zip(d, words, strict=True), reverse=True)[:NEAREST] if v > 0]
+                picked, held = [], own[f::FOLDS]
+                found, sizes = known.of([*chain.from_iterable(held)])[:, 0], [len(words) for words in held]
+                rows.append(features(found, sizes))
+                classes += [1 - k] * len(held)
+                for words, d in zip(held, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+                    picked += [w for v, w in sorted(zip(d.tolist(), words, strict=True), reverse=True)[:NEAREST] if v > 0]
                 nearest[k].append(picked)
         if all(len(x) for own in nearest for x in own):
             chosen = nearest
-    mean, spread, weights = _logistic(np.array(rows), np.array(classes))
+    mean, spread, weights = _logistic(np.concatenate(rows), np.array(classes))
     odds = len(toxic) / len(ordinary)
     return Model(pairs, mean, spread, weights, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6) / odds)), share)
 
@@ -191,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         known = model.distances()
         for batch in batches:
-            out = [model.score(known, t) for t in batch.column("text").to_pylist()]
+            out = model.scores(known, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)

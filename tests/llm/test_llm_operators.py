@@ -472,6 +472,44 @@ def test_toxicity_learns_what_marks_a_class(spark):
     assert toxicity.score(frame(spark, []), toxicity.fitted(docs, marks.limit(0))).count() == 0
 
 
+def test_toxicity_compresses_a_frequent_word_once_and_by_one_dictionary_after_the_other(monkeypatch):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(7, 9)))
+    common_words, bad = sorted({word() for _ in range(400)}), ["vilexos", "quombag", "zarfull"]
+    ordinary = [" ".join(r.sample(common_words, 40)) for _ in range(60)]
+    model = toxicity.fit([f"{t} {r.choice(bad)} {r.choice(bad)}" for t in ordinary[:20]], ordinary, 0.25)
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 1000)
+    plain, known, calls = toxicity.Distances(model.pairs).pairs, toxicity.Distances(model.pairs), []
+
+    def counted(name, compress):
+        return lambda data: calls.append((name, data)) or compress(data)
+
+    known.pairs = [tuple(counted((k, side), compress) for side, compress in enumerate(pair)) for k, pair in enumerate(known.pairs)]
+    texts = [" ".join(common_words + [f"{word()}{k}" for _ in range(150)] + bad[: k % 3]) for k in range(12)] + [None, "", "zarfull"]
+    scores, switches = [], 0
+    for text in texts:
+        before = len(calls)
+        scores.append(model.score(known, text))
+        switches += sum(a[0] != b[0] for a, b in zip(calls[before:], calls[before + 1 :], strict=False))
+    of_common = Counter(data for _, data in calls if data in {toxicity._BEFORE + w.encode() + toxicity._AFTER for w in common_words})
+    assert len(of_common) == 400 and set(of_common.values()) == {4}
+    assert switches <= 3 * len(texts)
+
+    def wanted(text):
+        z = []
+        for k, (by_ordinary, by_toxic) in enumerate(plain):
+            data = [toxicity._BEFORE + w + toxicity._AFTER for w in toxicity.windows(text)]
+            d = np.array([len(by_ordinary(x)) - len(by_toxic(x)) for x in data] or [0])
+            over = [int((d >= s).sum()) for s in range(1, 8)]
+            x = np.array([*np.log1p(over), *(10 * np.array(over) / len(d)), np.log(len(d)), d.mean(), d.max()])
+            z.append(((x - model.mean) / model.spread) @ model.weights[:-1] + model.weights[-1])
+        return 1 / (1 + np.exp(-(np.mean(z) + model.shift)))
+
+    assert scores == pytest.approx([wanted(t) for t in texts], rel=1e-9)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 700)
+    assert model.scores(toxicity.Distances(model.pairs), texts) == scores and model.scores(known, []) == []
+
+
 def _classes(rows):
     sets = {}
     for d, t in rows:
